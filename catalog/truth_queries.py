@@ -52,7 +52,7 @@ def filter_truth(spark, sf_dir):
 MANY = {f"below_{i * 400}": f"n_chars < {i * 400}" for i in range(1, 51)}
 
 
-@query("T1_fifty_predicates_one_scan", MANIFEST + """
+@query("T1_fifty_predicates", MANIFEST + """
     select 'below_' || cast(i * 400 as varchar) as name, count(*) filter (n_chars < i * 400) as n,
       100.0 * avg(quality) filter (n_chars < i * 400) as rate
     from manifest, range(1, 51) r(i) group by i""")

@@ -6,9 +6,10 @@ touches rows runs as Spark jobs. Simple filters on one table share a single scan
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 from typing import NamedTuple
 
@@ -149,9 +150,19 @@ def _plain_condition(sql: str, table: Binding) -> str | None:
     return condition
 
 
+def scan_groups(texts: Sequence[str], size: int, characters: int) -> list[range]:
+    """Positions of conditions that should share a scan, in even groups.
+
+    Code generated for one scan must stay below the size the JVM compiles; past it a scan is
+    ten times slower, so a second scan is cheaper. Text length stands in for code size.
+    """
+    groups = max(1, math.ceil(len(texts) / size), math.ceil(sum(map(len, texts)) / characters))
+    bounds = [round(i * len(texts) / groups) for i in range(groups + 1)]
+    return [range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
+
+
 def _count(tasks: list[_Task], tables: dict[str, Binding]) -> list[int]:
-    """Row counts of a batch in one job: one scan per table for plain filters, a union for the rest."""
-    spark = next(iter(tables.values())).frame.sparkSession
+    """Row counts of a batch in one job: shared scans for plain filters, a union for the rest."""
     parts = []
     by_table: dict[str, list[int]] = {}
     for i, task in enumerate(tasks):
@@ -159,12 +170,13 @@ def _count(tasks: list[_Task], tables: dict[str, Binding]) -> list[int]:
             by_table.setdefault(task.dataset, []).append(i)
         else:
             parts.append(task.rows.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n")))
-    with session_settings(spark, GATE_SETTINGS):
-        for dataset, members in by_table.items():
+    for dataset, members in by_table.items():
+        for group in scan_groups([tasks[i].condition for i in members], 64, 2400):
+            chosen = [members[g] for g in group]
             wide = tables[dataset].frame.agg(
-                *[F.count_if(F.expr(f"(\n{tasks[i].condition}\n)")).alias(f"n{i}") for i in members])
+                *[F.expr(f"count(*) FILTER (WHERE (\n{tasks[i].condition}\n))").alias(f"n{i}") for i in chosen])
             parts.append(wide.select(F.explode(F.array(
-                *[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n")) for i in members])).alias("c"))
+                *[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n")) for i in chosen])).alias("c"))
                 .select("c.i", "c.n"))
     union = parts[0]
     for part in parts[1:]:
@@ -173,8 +185,17 @@ def _count(tasks: list[_Task], tables: dict[str, Binding]) -> list[int]:
     return [counts[i] for i in range(len(tasks))]
 
 
+def _suspects(tasks: list[_Task], fault) -> tuple[list[int], list[int]]:
+    """Positions of the statements a fault points at and of the others; halves if it points nowhere."""
+    fragments = {context.fragment() for context in fault.getQueryContext() or [] if context.fragment()}
+    accused = [i for i, task in enumerate(tasks) if any(f in task.statement for f in fragments)]
+    if not accused or len(accused) == len(tasks):
+        accused = list(range(len(tasks) // 2))
+    return accused, [i for i in range(len(tasks)) if i not in accused]
+
+
 def _count_isolated(tasks: list[_Task], tables: dict[str, Binding]) -> list[int | str]:
-    """Counts of a batch; when it fails, halve it until the faulty statements stand alone."""
+    """Counts of a batch; when it fails, divide it until the faulty statements stand alone."""
     if not tasks:
         return []
     try:
@@ -182,8 +203,10 @@ def _count_isolated(tasks: list[_Task], tables: dict[str, Binding]) -> list[int
     except STATEMENT_FAULTS as fault:
         if len(tasks) == 1:
             return [type(fault).__name__]
-        middle = len(tasks) // 2
-        return _count_isolated(tasks[:middle], tables) + _count_isolated(tasks[middle:], tables)
+        results: dict[int, int | str] = {}
+        for part in _suspects(tasks, fault):
+            results.update(zip(part, _count_isolated([tasks[i] for i in part], tables), strict=True))
+        return [results[i] for i in range(len(tasks))]
 
 
 def _batches(rows: Iterable, size: int) -> Iterator[list]:
@@ -211,9 +234,10 @@ def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch
     path = new_path(spark, "statement-counts")
     spark.createDataFrame([], COUNT_SCHEMA).write.parquet(path)
     for batch in _batches(statements.toLocalIterator(), batch_size):
-        prepared = [_prepare(row, tables, strict) for row in batch]
-        tasks = [p for p in prepared if isinstance(p, _Task)]
-        counted = iter(_count_isolated(tasks, tables))
+        with session_settings(spark, GATE_SETTINGS):
+            prepared = [_prepare(row, tables, strict) for row in batch]
+            tasks = [p for p in prepared if isinstance(p, _Task)]
+            counted = iter(_count_isolated(tasks, tables))
         outcomes = []
         for row, state in zip(batch, prepared, strict=True):
             result = state if isinstance(state, str) else next(counted)

@@ -9,46 +9,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge import fixed_values as fv
-from tablegauge.functions.rounding import ratio, round_exact
+from tablegauge.functions.rounding import round_exact
 from tablegauge.functions.tools import expected_tools
-from tablegauge.operators.statements import GATE_SETTINGS, STATEMENT_FAULTS, Binding, body_of, run_statement
+from tablegauge.operators.statements import (
+    GATE_SETTINGS,
+    STATEMENT_FAULTS,
+    Binding,
+    body_of,
+    run_statement,
+    scan_groups,
+)
 from tablegauge.sources.schemas import SPEC_SCHEMA
 from tablegauge.workdir import session_settings
 
-# Aggregates per scan. Two counts and a sum each: wider scans gain little and cost compile time.
-PREDICATES_PER_SCAN = 64
+# Conditions per scan, by number and by length of text.
+PER_SCAN = 32
+CHARACTERS_PER_SCAN = 1200
 
 
 def filter_truth(frame: DataFrame, predicates: Mapping[str, str] | Sequence[tuple[str, str]],
                  metric: str) -> DataFrame:
     """For each named predicate: rows selected and the rate of a 0/1 metric in percent.
 
-    All predicates share one scan as conditional aggregates, so the data is read once and
-    one partial row per task is shuffled. An empty selection has no rate.
+    Predicates share scans as filtered aggregates, up to ``PER_SCAN`` of them, so the data is
+    read once and one partial row per task is shuffled. An empty selection has no rate.
     """
     items = list(predicates.items()) if isinstance(predicates, Mapping) else list(predicates)
     parts = []
     with session_settings(frame.sparkSession, GATE_SETTINGS):
-        for start in range(0, len(items), PREDICATES_PER_SCAN):
-            batch = items[start:start + PREDICATES_PER_SCAN]
-            totals = []
-            for i, (_, text) in enumerate(batch):
-                holds = F.expr(f"(\n{text}\n)")
-                measured = F.when(holds, F.col(metric))
-                totals += [F.count_if(holds).alias(f"n{i}"), F.count(measured).alias(f"m{i}"),
-                           F.sum(measured).alias(f"s{i}")]
-            wide = frame.agg(*totals)
-            rows = [F.struct(F.lit(start + i).alias("position"), F.lit(name).alias("name"),
-                             F.lit(text).alias("predicate"), F.col(f"n{i}").alias("n"),
-                             (100.0 * ratio(F.col(f"s{i}"), F.col(f"m{i}"))).alias("rate"))
-                    for i, (name, text) in enumerate(batch)]
+        for group in scan_groups([text for _, text in items], PER_SCAN, CHARACTERS_PER_SCAN):
+            wide = frame.agg(*[
+                F.expr(f"{call} FILTER (WHERE (\n{items[i][1]}\n))").alias(f"{name}{i}")
+                for i in group for call, name in (("count(*)", "n"), (f"avg(`{metric}`)", "m"))])
+            rows = [F.struct(F.lit(i).alias("position"), F.lit(items[i][0]).alias("name"),
+                             F.lit(items[i][1]).alias("predicate"), F.col(f"n{i}").alias("n"),
+                             (100.0 * F.col(f"m{i}")).alias("rate")) for i in group]
             parts.append(wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
     return _union(parts).withColumn("rate_1", round_exact(F.col("rate"), 1)).withColumn(
         "empty_selection", F.col("n") == 0)
 
 
-
-
 # One aggregate call, optionally scaled, over one table with an optional condition.
 _ONE_AGGREGATE = re.compile(
     r"select\s+(?P<factor>[\d.]+\s*\*\s*)?(?P<call>(?:count|sum|avg|min|max)\s*\([^()]*\))"
@@ -89,8 +89,8 @@ def question_truth(table: Binding, statements: Mapping[str, str] | Sequence[tupl
             else:
                 parts.append(answer.toDF(*[f"v{i}" for i in range(len(answer.columns))]).select(
                     *row, F.col("v0").cast("double").alias("value")))
-        for start in range(0, len(shared), PREDICATES_PER_SCAN):
-            batch = shared[start:start + PREDICATES_PER_SCAN]
+        for group in scan_groups([items[position][1] for _, _, position in shared], PER_SCAN, CHARACTERS_PER_SCAN):
+            batch = [shared[i] for i in group]
             rows = [F.struct(*row, F.col(f"v{position}").alias("value")) for _, row, position in batch]
             wide = table.frame.agg(*[value for value, _, _ in batch])
             parts.append(wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))

@@ -44,12 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Apply session settings for a moment and put the earlier ones back."""
     earlier = {key: spark.conf.get(key, None) for key in settings}
+    changed = [key for key, value in settings.items() if earlier[key] != value]
     try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
+        for key in changed:
+            spark.conf.set(key, settings[key])
         yield
     finally:
-        for key, value in earlier.items():
+        for key in changed:
+            value = earlier[key]
             if value is None:
                 spark.conf.unset(key)
             else:
