@@ -70,7 +70,7 @@ def measured_usage(spark, sf_dir):
 _SPEND = f"""spends as (
   select m.model, samples, retries, measured_samples, case when measured_samples > 0
       then (tokens_in * p_in + tokens_out * p_out + tokens_cached * coalesce(p_cached, 0.0::double)) / 1e6
-      else (samples + 0.5::double * retries) * {_USD.format(h='1.0')} end as usd
+      else (samples + 0.5::double * retries) * ({_USD.format(h='1.0')}) end as usd
   from measured m left join prices p on m.model = p.model left join usage u on m.model = u.model)"""
 SPEND = v.with_ctes(v.RUNS, _PRICES, _USAGE, _MEASURED, _SPEND)
 

@@ -229,7 +229,7 @@ def sample_files(spark, sf_dir):
     samples.write_samples(_document_samples(spark, sf_dir), path)
     stored = samples.read_samples(spark, path)
     return stored.groupBy("metadata.dataset", "metadata.intent").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("truth.rows")[0]).alias("row_total"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.get("truth.rows", F.lit(0))).alias("row_total"),
         F.count_distinct("id").alias("ids"))
 
 
