@@ -30,17 +30,6 @@ CONFIGS_BY_DATASET = {
     "titanic": ["baseline", "datadesc", "format", "format_query"],
     "crashes": ["baseline", "format", "format_query"],
 }
-# What each configuration of a dataset supplies (column dictionary, reply template).
-CONFIG_PARTS = {
-    ("titanic", "baseline"): (False, False),
-    ("titanic", "datadesc"): (True, False),
-    ("titanic", "format"): (True, True),
-    ("titanic", "format_query"): (True, True),
-    ("crashes", "baseline"): (False, False),
-    ("crashes", "format"): (False, True),
-    ("crashes", "format_query"): (False, True),
-}
-
 # The five scores and the four provenance verdicts, in report order.
 SCORES = ["tool_choice", "filter_rows", "answer_correct", "format_adherence", "number_honesty"]
 VERDICTS = ["honest", "unverified", "wrong", "silent"]

@@ -26,6 +26,7 @@ from pyspark.errors import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.operators.lookup import hot_hashes, salted_lookup
 from tablegauge.workdir import new_path, session_settings
 
 # Identifiers in double quotes as in standard SQL; no file paths as tables; no ${...} expansion.
@@ -249,27 +250,16 @@ def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch
 
 
 def with_statement_counts(requests: DataFrame, counts: DataFrame, dataset: str = "dataset",
-                          statement: str = "statement", *, spread_by: list[str] | None = None,
-                          salts: int = 64, hot_share: int = 1000) -> DataFrame:
+                          statement: str = "statement", *, spread_by: Sequence[str]) -> DataFrame:
     """Add the row count of each request's statement as ``statement_rows``.
 
-    One popular statement may make up a third of all requests. Statements with more than
-    one in ``hot_share`` of all uses, hence fewer than ``hot_share`` of them, are spread
-    over ``salts`` keys on both sides, so no key is hot if Spark shuffles this join.
+    One popular statement may make up a third of all requests, so hot statements are spread
+    over the values of ``spread_by``, for example the id of a request.
     """
-    key = F.xxhash64("dataset", "statement")
-    total = counts.agg(F.sum("uses")).first()[0] or 0
-    hot = [row.key for row in counts.where(F.col("uses") * hot_share > total).select(key.alias("key")).collect()]
-    left_key = F.xxhash64(F.col(dataset), F.col(statement))
-    spread = F.xxhash64(*[F.col(c) for c in spread_by or requests.columns])
-    left = requests.withColumn(
-        "_salt", F.when(left_key.isin(hot), F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    salted = F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = counts.select(F.col("dataset").alias("_dataset"), F.col("statement").alias("_statement"),
-                          F.col("n").alias("statement_rows"), F.explode(salted).alias("_right_salt"))
-    return left.join(right, (F.col(dataset) == F.col("_dataset")) & (F.col(statement) == F.col("_statement"))
-                     & (F.col("_salt") == F.col("_right_salt")), "left").drop(
-        "_dataset", "_statement", "_salt", "_right_salt")
+    right = counts.select(F.col("dataset").alias("key_dataset"), F.col("statement").alias("key_statement"),
+                          F.col("n").alias("statement_rows"))
+    hot = hot_hashes(counts, ["dataset", "statement"])
+    return salted_lookup(requests, right, [(dataset, "key_dataset"), (statement, "key_statement")], hot, spread_by)
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:

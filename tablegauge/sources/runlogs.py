@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.functions import errors, tools
 from tablegauge import fixed_values as fv
+from tablegauge.functions import errors, tools
+from tablegauge.operators.lookup import lookup
 from tablegauge.sources.schemas import FLAT_LOG_SCHEMA, RUN_LOG_SCHEMA
 
 
@@ -75,17 +76,18 @@ def usage_from_logs(samples: DataFrame) -> DataFrame:
                           store["tokens_cached"].alias("tokens_cached"))
 
 
+_CELL = ("groq_model", "provider", "config", "dataset", "reasoning")
+
+
 def latest_runs(samples: DataFrame) -> DataFrame:
     """Keep the newest log of each cell where a cell was run again.
 
-    The newest start per cell is a small aggregate; joining it back needs no sort of samples.
+    The newest start per cell is a small aggregate; it is joined back instead of sorting samples.
     """
-    cell = [F.col(f"metadata.{c}").alias(f"_{c}") for c in ("groq_model", "provider", "config", "dataset", "reasoning")]
-    newest = samples.groupBy(*cell).agg(F.max("created").alias("_newest"))
-    match = F.col("created") == F.col("_newest")
-    for c in ("groq_model", "provider", "config", "dataset", "reasoning"):
-        match = match & F.col(f"metadata.{c}").eqNullSafe(F.col(f"_{c}"))
-    return samples.join(newest, match, "left_semi")
+    keyed = samples.withColumn("_cell", F.to_json(F.struct(*[f"metadata.{c}" for c in _CELL])))
+    newest = keyed.groupBy("_cell").agg(F.max("created").alias("_newest"))
+    found = lookup(keyed, newest, ["_cell"], ["sample.id", "sample.epoch"], "newest-runs")
+    return found.where(F.col("created") == F.col("_newest")).select(*samples.columns)
 
 
 def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:

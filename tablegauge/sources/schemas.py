@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+# The passenger table as distributed in CSV form.
+PASSENGER_SCHEMA = ("survived int, pclass int, sex string, age double, sibsp int, parch int, fare double, "
+                    "embarked string, `class` string, who string, adult_male boolean, deck string, "
+                    "embark_town string, alive string, alone boolean")
+
 SPEC_SCHEMA = ("dataset string, intent string, family string, truth_sql array<string>, "
                "phrasings array<string>, trap boolean, rate boolean")
 

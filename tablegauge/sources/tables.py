@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablegauge import fixed_values as fv
 from tablegauge.operators.statements import Binding, bind
+from tablegauge.sources.schemas import PASSENGER_SCHEMA
 
 
 def nan_to_null(frame: DataFrame) -> DataFrame:
@@ -65,14 +66,19 @@ def crashes(spark: SparkSession) -> DataFrame:
 
 
 class Registry:
-    """Tables and their 0/1 metric columns by name; each is loaded and bound once."""
+    """Tables and their 0/1 metric columns by name; each is loaded and bound once.
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    ``passengers`` is the path of the passenger table as CSV, if it is at hand.
+    """
+
+    def __init__(self, spark: SparkSession, passengers: str | None = None) -> None:
         self._loaders: dict[str, Callable[[], DataFrame]] = {}
         self._bound: dict[str, Binding] = {}
         self.metric: dict[str, str] = {}
         self.add("crashes", lambda: crashes(spark), fv.METRIC_COLUMN["crashes"])
+        if passengers:
+            self.add("titanic", lambda: load_table(spark, passengers, "csv", PASSENGER_SCHEMA, header="true"),
+                     fv.METRIC_COLUMN["titanic"])
 
     def add(self, name: str, loader: Callable[[], DataFrame], metric: str) -> None:
         self._loaders[name], self.metric[name] = loader, metric
