@@ -10,10 +10,9 @@ from catalog.registry import query
 from tablegauge import fixed_values as fv
 from tablegauge.operators import dashboard as dash
 from tablegauge.operators.dashboard import Dashboard
-from tablegauge.operators.statements import bind, same_rows, try_statement
+from tablegauge.operators.statements import bind, try_statement
 from tablegauge.plans.truth import filter_truth
 from tablegauge.sources import runlogs, samples, tables
-from tablegauge.sources.schemas import TARGET_SCHEMA
 from tablegauge.workdir import new_path
 
 MANIFEST = v.with_ctes(v.MANIFEST)

@@ -11,6 +11,7 @@ from tablegauge import fixed_values as fv
 from tablegauge.functions import errors, tools
 from tablegauge.plans import report
 from tablegauge.sources.runlogs import model_label
+from tablegauge.workdir import written
 
 RUNS = v.with_ctes(v.RUNS)
 SCORED = v.with_ctes(v.RUNS, v.SCORED)
@@ -102,9 +103,11 @@ def untrusted_share(spark, sf_dir):
 
 
 # Three scores that exist in several configs, so that completeness and composites are not trivial.
+# One model lacks one config: it must drop out wherever complete models are asked for.
+_GAP = "not (model = 'm3' and config = 'format')"
 _PERCENTS = "percents as (" + " union all ".join(
     f"select model, config, '{s}' as score, {_PCT.format(s=s)} as value from scored where {s} is not null "
-    f"group by model, config" for s in SCORES) + ")"
+    f"and {_GAP} group by model, config" for s in SCORES) + ")"
 _COMPLETE = """complete as (select model from percents group by model
   having count(*) = (select count(*) from (select distinct score, config from percents) x))"""
 _COMPOSITE = """composites as (select model, avg(mean) as composite from (
@@ -114,7 +117,7 @@ REPORT_SQL = v.with_ctes(v.RUNS, v.SCORED, _PERCENTS, _COMPLETE, _COMPOSITE)
 
 
 def _percents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_percents(cells(spark, sf_dir, "model", "config"), SCORES)
+    return report.score_percents(cells(spark, sf_dir, "model", "config").where(_GAP), SCORES)
 
 
 @query("R11_complete_models", REPORT_SQL + "select model from complete")
@@ -138,7 +141,7 @@ def ranking(spark, sf_dir):
     select model, a.format as tools_format, b.format as honest_format
     from ({_wide('tool_choice', ['format'])}) a full join ({_wide('number_honesty', ['format'])}) b using (model)""")
 def aligned(spark, sf_dir):
-    c = cells(spark, sf_dir, "model", "config")
+    c = written(cells(spark, sf_dir, "model", "config"), "cells")
     return report.aligned({"tools": report.accuracy_table(c, "tool_choice", ["format"]),
                            "honest": report.accuracy_table(c, "number_honesty", ["format"])})
 
@@ -152,10 +155,10 @@ def column_summary(spark, sf_dir):
 
 
 @query("R16_before_after", SCORED + f"""
-    select model, baseline as before, format_query as after from ({_wide('answer_correct', fv.CONFIG_ORDER)}) t
+    select model, baseline as before, format_query as after from ({_wide('answer_correct', fv.CONFIG_ORDER, 'and ' + _GAP)}) t
     where baseline is not null and datadesc is not null and format is not null and format_query is not null""")
 def before_after(spark, sf_dir):
-    table = report.accuracy_table(cells(spark, sf_dir, "model", "config"), "answer_correct")
+    table = report.accuracy_table(cells(spark, sf_dir, "model", "config").where(_GAP), "answer_correct")
     return report.before_after(table, "baseline", "format_query")
 
 

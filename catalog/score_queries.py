@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.registry import query
-from tablegauge import fixed_values as fv
 from tablegauge.functions import errors, replies, tools
 from tablegauge.operators import scoring
-from tablegauge.operators.statements import bind, count_statements, distinct_statements, same_rows, run_statement, \
-    with_statement_counts
+from tablegauge.operators.statements import (
+    bind,
+    count_statements,
+    distinct_statements,
+    run_statement,
+    same_rows,
+    with_statement_counts,
+)
 
 RUNS = v.with_ctes(v.RUNS)
 SCORED = v.with_ctes(v.RUNS, v.SCORED)
@@ -70,7 +75,7 @@ def _judged_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JUDGED = v.with_ctes(v.MANIFEST, v.RUNS, v.COUNTS) + """, judged as (
   select r.*, c.n, coalesce(c.n between 200 and 402 and c.n % 10 = r.k % 3 and c.n <= 400 + r.k % 3, false) as ok
-  from runs r left join counts c on r.dataset = c.dataset and r.update_sql = c.statement)"""
+  from runs r left join counts c on r.dataset = c.dataset and rtrim(r.update_sql, ';') = c.statement)"""
 
 
 @query("C5_filter_rows_ok", _JUDGED + "select run_id, n as statement_rows, ok from judged")

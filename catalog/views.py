@@ -186,8 +186,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- row counts of the generated filters ---------------------------------------------------
 
 COUNTS = """statements as (
-  select dataset, update_sql as statement, any_value(k) as k, count(*) as uses
-  from runs where update_sql is not null group by dataset, update_sql),
+  select dataset, rtrim(update_sql, ';') as statement, any_value(k) as k, count(*) as uses
+  from runs where update_sql is not null group by 1, 2),
 counts as (
   select s.dataset, s.statement, s.uses, case
     when s.dataset = 'labels' then case s.k % 3 when 0 then (select count(*) from labels where quality = 1)

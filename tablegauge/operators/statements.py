@@ -23,7 +23,7 @@ from pyspark.errors import (
     ParseException,
     SparkRuntimeException,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.operators.lookup import hot_hashes, salted_lookup
@@ -216,11 +216,16 @@ def _batches(rows: Iterable, size: int) -> Iterator[list]:
         yield batch
 
 
+def normalized(statement: Column) -> Column:
+    """Statement text without surrounding space and closing semicolons, so that such variants run once."""
+    return F.regexp_replace(statement, r"^\s+|[;\s]+\z", "")
+
+
 def distinct_statements(requests: DataFrame, dataset: str = "dataset", statement: str = "statement") -> DataFrame:
     """Each (dataset, statement) once with its number of uses; empty statements are left out."""
-    return (requests.where(F.coalesce(F.col(statement) != "", F.lit(False)))
-            .groupBy(F.col(dataset).alias("dataset"), F.col(statement).alias("statement"))
-            .agg(F.count(F.lit(1)).alias("uses")))
+    return (requests.select(F.col(dataset).alias("dataset"), normalized(F.col(statement)).alias("statement"))
+            .where(F.coalesce(F.col("statement") != "", F.lit(False)))
+            .groupBy("dataset", "statement").agg(F.count(F.lit(1)).alias("uses")))
 
 
 def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch_size: int = 64,
@@ -259,7 +264,9 @@ def with_statement_counts(requests: DataFrame, counts: DataFrame, dataset: str =
     right = counts.select(F.col("dataset").alias("key_dataset"), F.col("statement").alias("key_statement"),
                           F.col("n").alias("statement_rows"))
     hot = hot_hashes(counts, ["dataset", "statement"])
-    return salted_lookup(requests, right, [(dataset, "key_dataset"), (statement, "key_statement")], hot, spread_by)
+    keyed = requests.withColumn("_normalized", normalized(F.col(statement)))
+    keys = [(dataset, "key_dataset"), ("_normalized", "key_statement")]
+    return salted_lookup(keyed, right, keys, hot, spread_by).drop("_normalized")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:

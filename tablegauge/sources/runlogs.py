@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +92,11 @@ def latest_runs(samples: DataFrame) -> DataFrame:
     return found.where(F.col("created") == F.col("_newest")).select(*samples.columns)
 
 
-def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Scored facts as CSV with a header."""
-    facts.write.mode(mode).option("header", True).csv(path)
+def write_facts(facts: DataFrame, path: str, source: str = "csv", partition_by: Sequence[str] = (),
+                mode: str = "errorifexists") -> None:
+    """Scored facts as CSV with a header, or in another format; partition large ones by
+    the columns reports select on, such as data set and config."""
+    facts.write.mode(mode).partitionBy(*partition_by).option("header", True).format(source).save(path)
 
 
 def write_reports(tables: dict[str, DataFrame], path: str, source: str = "parquet",
