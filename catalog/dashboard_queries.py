@@ -261,7 +261,7 @@ def logged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(
         "run_id", F.when(F.col("run_id") % 100 < 50, "success").otherwise("error").alias("status"),
         F.col("started").alias("created"), F.lit(3).alias("epochs"), F.lit(1).alias("max_samples"),
-        F.struct(F.col("full_model").alias("groq_model"), "provider", "config", "dataset", "reasoning").alias("metadata"),
+        F.struct(F.col("full_model").alias(fv.MODEL_KEY), "provider", "config", "dataset", "reasoning").alias("metadata"),
         F.struct(F.col("run_id").cast("string").alias("id"), "input", "epoch", metadata.alias("metadata"),
                  store.alias("store"), F.create_map(*score("tool_choice"), *score("number_honesty")).alias("scores"))
         .alias("sample"))
@@ -285,7 +285,7 @@ def nested_logs_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 @query("S7_read_successful_logs", v.with_ctes(v.RUNS, _LOGS_SQL) + """
-    select case provider when 'groq' then model else model || ' @' || provider end as model, config,
+    select case provider when '<home>' then model else model || ' @' || provider end as model, config,
       count(*) as n, sum(case when k % 3 = 0 then 1 when k % 3 = 1 then 0 end)::double as correct,
       count(case when k % 3 <> 2 then 1 end) as scored, sum(retries) as retries, count(error) as errors
     from logs where status = 'success' group by 1, 2""")

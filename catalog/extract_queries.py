@@ -68,8 +68,8 @@ def summed_tokens(spark, sf_dir):
 
 
 @query("X2_tool_names", RUNS + """
-    select run_id, case tool_case when 0 then 'querychat_get_schema,querychat_query'
-      when 1 then 'querychat_update_dashboard' when 2 then 'querychat_update_dashboard,querychat_query'
+    select run_id, case tool_case when 0 then '<schema>,<query>'
+      when 1 then '<update>' when 2 then '<update>,<query>'
       else '' end as tools from runs""")
 def tool_names(spark, sf_dir):
     return _extracted(spark, sf_dir).select("run_id", F.array_join("tools", ",").alias("tools"))

@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablegauge import fixed_values as fv
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Names that logs rely on, as the SQL texts write them.
+PLACEHOLDERS = {"<schema>": fv.SCHEMA_TOOL, "<update>": fv.UPDATE_TOOL, "<query>": fv.QUERY_TOOL,
+                "<reset>": fv.RESET_TOOL, "<home>": fv.DEFAULT_PROVIDER}
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,7 +25,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = function
         if sql is not None:
-            ORACLES[name] = sql
+            text = sql
+            for placeholder, value in PLACEHOLDERS.items():
+                text = text.replace(placeholder, value)
+            ORACLES[name] = text
         return function
 
     return register

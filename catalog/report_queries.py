@@ -40,7 +40,7 @@ def error_kind(spark, sf_dir):
 @query("R2_model_label", RUNS + """
     select label, count(*) as n from (
       select case full_model when 'vendor/m3' then 'm3' else split_part(full_model, '/', 2) end
-        || case provider when 'groq' then '' else ' @' || provider end as label from runs) t group by label""")
+        || case provider when '<home>' then '' else ' @' || provider end as label from runs) t group by label""")
 def labels(spark, sf_dir):
     return (v.runs(spark, sf_dir).select(model_label(F.col("full_model"), F.col("provider")).alias("label"))
             .groupBy("label").agg(F.count(F.lit(1)).alias("n")))

@@ -21,17 +21,15 @@ from tablegauge.operators.statements import (
 RUNS = v.with_ctes(v.RUNS)
 SCORED = v.with_ctes(v.RUNS, v.SCORED)
 COUNTED = v.with_ctes(v.MANIFEST, v.RUNS, v.COUNTS)
-_TOOLS = ("case tool_case when 0 then 'querychat_query' when 1 then 'querychat_update_dashboard' "
-          "when 2 then 'querychat_query,querychat_update_dashboard' else '' end")
 
 
 @query("C1_allowed_tool_sets", RUNS + """
     select family, config, case
-        when family = 'filter' and config = 'format_query' then 'querychat_query,querychat_update_dashboard'
+        when family = 'filter' and config = 'format_query' then '<query>,<update>'
         when family = 'filter' and config = 'format'
-          then 'querychat_update_dashboard|querychat_query,querychat_update_dashboard'
-        when family = 'filter' then 'querychat_update_dashboard'
-        when family = 'question' then 'querychat_query' else 'querychat_reset_dashboard' end as allowed,
+          then '<update>|<query>,<update>'
+        when family = 'filter' then '<update>'
+        when family = 'question' then '<query>' else '<reset>' end as allowed,
       count(*) as n from runs group by family, config""")
 def allowed_tool_sets(spark, sf_dir):
     r = v.runs(spark, sf_dir).groupBy("family", "config").agg(F.count(F.lit(1)).alias("n"))
@@ -199,12 +197,12 @@ def accuracy(spark, sf_dir):
     select run_id,
       case when error is not null then 'API error: ' || error
         when family = 'filter' and config = 'format_query'
-          then 'allowed [[''querychat_query'', ''querychat_update_dashboard'']] under ' || config
+          then 'allowed [[''<query>'', ''<update>'']] under ' || config
         when family = 'filter' and config = 'format'
-          then 'allowed [[''querychat_update_dashboard''], [''querychat_query'', ''querychat_update_dashboard'']] under ' || config
-        when family = 'filter' then 'allowed [[''querychat_update_dashboard'']] under ' || config
-        when family = 'question' then 'allowed [[''querychat_query'']] under ' || config
-        else 'allowed [[''querychat_reset_dashboard'']] under ' || config end as tool_choice_why,
+          then 'allowed [[''<update>''], [''<query>'', ''<update>'']] under ' || config
+        when family = 'filter' then 'allowed [[''<update>'']] under ' || config
+        when family = 'question' then 'allowed [[''<query>'']] under ' || config
+        else 'allowed [[''<reset>'']] under ' || config end as tool_choice_why,
       case when family <> 'filter' then 'not a filter intent'
         when update_sql is null then 'no update_dashboard SQL' when n is null then 'SQL error: ' || update_sql
         else cast(n as varchar) || ' rows (want [' || cast(truth_row as varchar) || ']): ' || update_sql end as filter_rows_why,

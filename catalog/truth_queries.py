@@ -95,8 +95,8 @@ def target_as_json(spark, sf_dir):
 
 
 @query("T7_expected_tools", v.with_ctes(v.RUNS) + """
-    select family, case family when 'filter' then 'querychat_update_dashboard'
-      when 'question' then 'querychat_query' else 'querychat_reset_dashboard' end as tools, count(*) as n
+    select family, case family when 'filter' then '<update>'
+      when 'question' then '<query>' else '<reset>' end as tools, count(*) as n
     from runs group by family""")
 def tools_of_family(spark, sf_dir):
     return (v.runs(spark, sf_dir).groupBy("family").agg(F.count(F.lit(1)).alias("n"))

@@ -62,7 +62,7 @@ _RUN_COLUMNS = {
     "intent": "event_type || '-' || cast(k % 7 as {STR})",
     "input": "'ask ' || event_type || ' ' || cast(k as {STR})",
     "reasoning": "case when user_id % 3 = 0 then 'none' else 'default' end",
-    "provider": "case when user_id % 7 = 0 then 'other' else 'groq' end",
+    "provider": f"case when user_id % 7 = 0 then 'other' else '{fv.DEFAULT_PROVIDER}' end",
     "full_model": "'vendor/m' || cast(user_id % 4 as {STR})",
     "text": "case when k % 5 = 0 and event_id % 2 = 0 then 'about ' || cast(k as {STR}) || '.25 in 2,0' "
             "|| cast(10 + k % 7 as {STR}) || ' cases' "
@@ -155,7 +155,7 @@ scored as (
          when contains(error, 'Failed to parse tool call') then 'malformed tool call'
          when contains(error, 'RateLimit') then 'rate limit (retries exhausted)'
          else left(split_part(error, ':', 1), 40) end as error_kind,
-    case provider when 'groq' then model else model || ' @' || provider end as label
+    case provider when '<home>' then model else model || ' @' || provider end as label
   from judged)"""
 
 SUGGESTION_DATASETS = ["manifest"]

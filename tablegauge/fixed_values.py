@@ -62,6 +62,7 @@ MODEL_LABELS = {
 }
 MATRIX_MODELS = list(MODEL_LABELS)
 DEFAULT_PROVIDER = "groq"
+MODEL_KEY = "groq_model"  # the model in the header of a run log
 
 
 class Price(NamedTuple):

@@ -162,26 +162,33 @@ def scan_groups(texts: Sequence[str], size: int, characters: int) -> list[range]
     return [range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
 
 
-def _count(tasks: list[_Task], tables: dict[str, Binding]) -> list[int]:
-    """Row counts of a batch in one job: shared scans for plain filters, a union for the rest."""
-    parts = []
-    by_table: dict[str, list[int]] = {}
+def _job_groups(tasks: list[_Task]) -> list[list[int]]:
+    """Positions of the tasks of a batch by job: shared scans per table, and one for all other plans.
+
+    A fault then repeats its own scan only.
+    """
+    plain: dict[str, list[int]] = {}
     for i, task in enumerate(tasks):
         if task.condition is not None:
-            by_table.setdefault(task.dataset, []).append(i)
-        else:
-            parts.append(task.rows.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n")))
-    for dataset, members in by_table.items():
-        for group in scan_groups([tasks[i].condition for i in members], 64, 2400):
-            chosen = [members[g] for g in group]
-            wide = tables[dataset].frame.agg(
-                *[F.expr(f"count(*) FILTER (WHERE (\n{tasks[i].condition}\n))").alias(f"n{i}") for i in chosen])
-            parts.append(wide.select(F.explode(F.array(
-                *[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n")) for i in chosen])).alias("c"))
-                .select("c.i", "c.n"))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+            plain.setdefault(task.dataset, []).append(i)
+    groups = []
+    for members in plain.values():
+        shared = scan_groups([tasks[i].condition for i in members], 64, 2400)
+        groups += [[members[g] for g in group] for group in shared]
+    others = [i for i, task in enumerate(tasks) if task.condition is None]
+    return groups + ([others] if others else [])
+
+
+def _count(tasks: list[_Task], tables: dict[str, Binding]) -> list[int]:
+    """Row counts of one job group."""
+    if tasks[0].condition is not None:
+        row = tables[tasks[0].dataset].frame.agg(
+            *[F.expr(f"count(*) FILTER (WHERE (\n{task.condition}\n))") for task in tasks]).first()
+        return list(row)
+    union = None
+    for i, task in enumerate(tasks):
+        part = task.rows.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"))
+        union = part if union is None else union.unionByName(part)
     counts = {row.i: row.n for row in union.collect()}
     return [counts[i] for i in range(len(tasks))]
 
@@ -196,9 +203,7 @@ def _suspects(tasks: list[_Task], fault) -> tuple[list[int], list[int]]:
 
 
 def _count_isolated(tasks: list[_Task], tables: dict[str, Binding]) -> list[int | str]:
-    """Counts of a batch; when it fails, divide it until the faulty statements stand alone."""
-    if not tasks:
-        return []
+    """Counts of a job group; when it fails, divide it until the faulty statements stand alone."""
     try:
         return list(_count(tasks, tables))
     except STATEMENT_FAULTS as fault:
@@ -243,10 +248,13 @@ def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch
         with session_settings(spark, GATE_SETTINGS):
             prepared = [_prepare(row, tables, strict) for row in batch]
             tasks = [p for p in prepared if isinstance(p, _Task)]
-            counted = iter(_count_isolated(tasks, tables))
+            counted: dict[int, int | str] = {}
+            for group in _job_groups(tasks):
+                counted.update(zip(group, _count_isolated([tasks[i] for i in group], tables), strict=True))
+        results = iter(counted[i] for i in range(len(tasks)))
         outcomes = []
         for row, state in zip(batch, prepared, strict=True):
-            result = state if isinstance(state, str) else next(counted)
+            result = state if isinstance(state, str) else next(results)
             failed = isinstance(result, str)
             outcomes.append((row.dataset, row.statement, row.uses,
                              None if failed else result, result if failed else None))

@@ -57,7 +57,7 @@ def facts_from_logs(samples: DataFrame) -> DataFrame:
         return F.coalesce(value, F.lit("?"))
 
     return samples.select(
-        model_label(meta["groq_model"], meta["provider"]).alias("model"),
+        model_label(meta[fv.MODEL_KEY], meta["provider"]).alias("model"),
         default(meta["config"]).alias("config"), default(meta["dataset"]).alias("dataset"),
         meta["reasoning"].alias("reasoning"), sample["intent"].alias("intent"),
         sample["family"].alias("family"), F.coalesce(sample["trap"], F.lit(False)).alias("trap"),
@@ -73,12 +73,12 @@ def facts_from_logs(samples: DataFrame) -> DataFrame:
 def usage_from_logs(samples: DataFrame) -> DataFrame:
     """Token counts per logged sample under the full model name, for any log status."""
     store = F.col("sample.store")
-    return samples.select(F.col("metadata.groq_model").alias("model"), store["retries"].alias("retries"),
+    return samples.select(F.col(f"metadata.{fv.MODEL_KEY}").alias("model"), store["retries"].alias("retries"),
                           store["tokens_in"].alias("tokens_in"), store["tokens_out"].alias("tokens_out"),
                           store["tokens_cached"].alias("tokens_cached"))
 
 
-_CELL = ("groq_model", "provider", "config", "dataset", "reasoning")
+_CELL = (fv.MODEL_KEY, "provider", "config", "dataset", "reasoning")
 
 
 def latest_runs(samples: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tablegauge.fixed_values import MODEL_KEY
+
 # The passenger table as distributed in CSV form.
 PASSENGER_SCHEMA = ("survived int, pclass int, sex string, age double, sibsp int, parch int, fare double, "
                     "embarked string, `class` string, who string, adult_male boolean, deck string, "
@@ -25,7 +27,7 @@ RUN_RESULT = ("struct<tools: array<string>, update_sql: string, query_sql: array
               "error: string, reset: boolean, retries: int, tokens_in: bigint, tokens_out: bigint, "
               "tokens_cached: bigint, model: string, config: string, reasoning: string, provider: string>")
 
-LOG_METADATA = ("struct<groq_model: string, provider: string, config: string, dataset: string, "
+LOG_METADATA = (f"struct<{MODEL_KEY}: string, provider: string, config: string, dataset: string, "
                 "reasoning: string>")
 
 LOG_SAMPLE = (f"struct<id: string, input: string, epoch: int, metadata: {SAMPLE_METADATA}, "

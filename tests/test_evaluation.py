@@ -22,7 +22,7 @@ def conversation(sample, config, attempt, tools, text, update=None, error=(None,
     calls = [("tool", None, t, "SELECT 1" if t == Q else update) for t in tools]
     turns = [("user", None, [("text", "ask", None, None)]), ("assistant", [10, 2, 0], calls),
              ("assistant", [5, 1], [("text", text, None, None)])]
-    return ("vendor/m", "groq", "default", config, sample, 1, attempt, "2026-10-08", turns,
+    return ("vendor/m", fv.DEFAULT_PROVIDER, "default", config, sample, 1, attempt, "2026-10-08", turns,
             [update] if update else [], None, *error)
 
 
@@ -66,6 +66,12 @@ def test_lookup_with_a_hot_key(spark, monkeypatch, limit):
     assert joined.where(~F.col("v").eqNullSafe(expected)).count() == 0
 
 
+def test_lookup_without_hot_keys(spark):
+    left = spark.range(5).select("id", F.col("id").alias("k"))
+    joined = lk.salted_lookup(left, spark.range(3).select(F.col("id").alias("k"), F.lit(1).alias("v")), [("k", "k")], [], ["id"])
+    assert joined.count() == 5 and joined.where("v = 1").count() == 3
+
+
 def test_hot_keys_are_spread(spark):
     uses = spark.createDataFrame([("hot", 5000), *[(f"k{i}", 1) for i in range(2000)]], "k string, uses bigint")
     hot = lk.hot_hashes(uses, ["k"])

@@ -159,7 +159,7 @@ def test_facts_from_logs(spark, tmp_path):
 
     def log(status, provider, samples):
         return {"status": status, "created": "2026-10-08T10:00", "epochs": 3, "max_samples": 1, "samples": samples,
-                "metadata": {"groq_model": "qwen/qwen3.8-27b", "provider": provider, "config": "format", "dataset": "titanic"}}
+                "metadata": {fv.MODEL_KEY: "qwen/qwen3.8-27b", "provider": provider, "config": "format", "dataset": "titanic"}}
 
     store = {"tools": [U, Q], "error": None, "retries": 2, "tokens_in": 5, "tokens_out": 6}
     full = {"id": "a", "input": "x", "epoch": 1, "metadata": {"intent": "i", "family": "filter", "trap": True}, "store": store,
