@@ -271,15 +271,12 @@ _LOG_PATHS: dict[tuple[str, str], str] = {}
 
 
 def nested_logs_path(spark: SparkSession, sf_dir: str) -> str:
-    """Nested logs of at most 400 samples each, written once per session."""
+    """Nested logs of one sample each, written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOG_PATHS:
-        flat = logged_samples(spark, sf_dir)
-        header = ["status", "created", "epochs", "max_samples", "metadata"]
-        nested = flat.groupBy(F.floor(F.col("run_id") / 400).alias("log"), *header).agg(
-            F.collect_list("sample").alias("samples"))
         path = new_path(spark, "logs")
-        nested.drop("log").write.json(path)
+        (logged_samples(spark, sf_dir).withColumn("samples", F.array("sample"))
+         .select("status", "created", "epochs", "max_samples", "metadata", "samples").write.json(path))
         _LOG_PATHS[key] = path
     return _LOG_PATHS[key]
 

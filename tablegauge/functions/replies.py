@@ -17,9 +17,14 @@ _ROWS = rf"(?i)(\d[\d,]*){SPACES}rows?"
 _RATE = rf"(?i)survival rate:?{SPACES}\**{SPACES}(\d+(?:\.\d+)?){SPACES}%"
 
 
+# Every white-space character, for trimming.
+SPACE_CHARACTERS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                     0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trimmed(text: Column) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, rf"^{SPACES}|{SPACES}\z", "")
+    return F.trim(text, F.lit(SPACE_CHARACTERS))
 
 
 def numbers_in(text: Column) -> Column:

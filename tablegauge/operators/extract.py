@@ -25,19 +25,20 @@ def summed_tokens(turns: Column, index: int) -> Column:
                        lambda total, turn: total + amount(turn))
 
 
-def _tool_requests(turns: Column) -> Column:
+def tool_requests(turns: Column) -> Column:
+    """All requested tools in order, as content parts."""
     contents = F.flatten(F.transform(turns, lambda t: F.coalesce(t["contents"], F.array())))
     return F.filter(contents, lambda c: c["kind"] == "tool")
 
 
-def tool_names(turns: Column) -> Column:
-    """Names of all requested tools in order."""
-    return F.transform(_tool_requests(turns), lambda c: c["name"])
+def tool_names(requests: Column) -> Column:
+    """Names of requested tools in order."""
+    return F.transform(requests, lambda c: c["name"])
 
 
-def query_statements(turns: Column) -> Column:
+def query_statements(requests: Column) -> Column:
     """SQL sent to the query tool in order; a request without a statement gives the empty text."""
-    asked = F.filter(_tool_requests(turns), lambda c: c["name"] == fv.QUERY_TOOL)
+    asked = F.filter(requests, lambda c: c["name"] == fv.QUERY_TOOL)
     return F.transform(asked, lambda c: F.coalesce(c["query"], F.lit("")))
 
 
@@ -67,9 +68,10 @@ def run_results(conversations: DataFrame, turns: str = "turns") -> DataFrame:
     error = errors.error_text(F.col("error_type"), F.col("error_message"))
     kept = [c for c in conversations.columns
             if c not in (turns, "updates", "resets", "error_type", "error_message")]
-    return conversations.select(
-        *kept, tool_names(t).alias("tools"), last_statement(F.col("updates")).alias("update_sql"),
-        query_statements(t).alias("query_sql"), final_answer(t).alias("text"), error.alias("error"),
+    # The requests are collected once, as a column that both lists are taken from.
+    return conversations.withColumn("_requests", tool_requests(t)).select(
+        *kept, tool_names(F.col("_requests")).alias("tools"), last_statement(F.col("updates")).alias("update_sql"),
+        query_statements(F.col("_requests")).alias("query_sql"), final_answer(t).alias("text"), error.alias("error"),
         was_reset(F.col("resets")).alias("reset"), summed_tokens(t, 0).alias("tokens_in"),
         summed_tokens(t, 1).alias("tokens_out"), summed_tokens(t, 2).alias("tokens_cached"))
 

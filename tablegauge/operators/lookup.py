@@ -52,5 +52,5 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Se
     size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return left.join(F.broadcast(stored), list(keys), "left")
-    uses = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("uses"))
+    uses = written(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("uses")), f"{name}-uses")
     return salted_lookup(left, stored, [(k, k) for k in keys], hot_hashes(uses, keys), spread_by)

@@ -75,7 +75,8 @@ def question_truth(table: Binding, statements: Mapping[str, str] | Sequence[tupl
     """For each named scalar statement: its value as a double and rounded to two decimals.
 
     Statements that are one aggregate over the table share a scan as filtered aggregates;
-    others keep a plan of their own. A statement that fails analysis raises.
+    others keep a plan of their own and count with the first value of their first row, NULL
+    without any. A statement that fails analysis raises.
     """
     items = list(statements.items()) if isinstance(statements, Mapping) else list(statements)
     parts, shared = [], []
@@ -87,8 +88,8 @@ def question_truth(table: Binding, statements: Mapping[str, str] | Sequence[tupl
             if text is not None:
                 shared.append((F.expr(text).cast("double").alias(f"v{position}"), row, position))
             else:
-                parts.append(answer.toDF(*[f"v{i}" for i in range(len(answer.columns))]).select(
-                    *row, F.col("v0").cast("double").alias("value")))
+                first = answer.toDF(*[f"v{i}" for i in range(len(answer.columns))]).limit(1)
+                parts.append(first.agg(F.max(F.col("v0").cast("double")).alias("value")).select(*row, "value"))
         for group in scan_groups([items[position][1] for _, _, position in shared], PER_SCAN, CHARACTERS_PER_SCAN):
             batch = [shared[i] for i in group]
             rows = [F.struct(*row, F.col(f"v{position}").alias("value")) for _, row, position in batch]

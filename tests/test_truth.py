@@ -32,8 +32,10 @@ def test_question_truth(crash_table):
         "count": "SELECT count(*) FROM crashes WHERE planet = 'Brimtak' AND survived_crash = 1",
         "rate": "SELECT 100.0 * avg(survived_crash) FROM crashes WHERE crew_role = 'medic';",
         "overall": "SELECT 100.0 * avg(survived_crash) FROM crashes", "max": "SELECT max(age) FROM crashes",
+        "first_row": "SELECT age, planet FROM crashes ORDER BY age DESC", "no_row": "SELECT age FROM crashes WHERE age > 1000",
         "own_plan": "SELECT max(n) FROM (SELECT planet, count(*) AS n FROM crashes GROUP BY planet) x"}).collect()}
-    assert rows == {"count": 35.0, "rate": 31.58, "overall": 58.0, "max": 67.0, "own_plan": 50.0}
+    assert rows == {"count": 35.0, "rate": 31.58, "overall": 58.0, "max": 67.0, "own_plan": 50.0,
+                    "first_row": 67.0, "no_row": None}
 
 
 def test_one_scan_per_group_of_predicates(spark, tmp_path, crash_table):
@@ -78,6 +80,23 @@ def test_passenger_corpus(passengers):
     assert len(inputs) == 67
 
 
+def test_column_meanings_and_vocabulary(passengers):
+    from tablegauge.operators import dashboard as dash
+
+    described = dash.with_meanings(passengers.frame, corpus.MEANINGS)
+    assert {r.column_name for r in dash.dictionary(described).collect() if r.meaning} == set(passengers.frame.columns)
+    rows = {r.name: r.n for r in truth.filter_truth(described, corpus.VOCABULARY, "survived").collect()}
+    people = passengers.frame.collect()
+    assert rows == {"steerage": sum(p.pclass == 3 for p in people), "alone": sum(p.alone for p in people),
+                    "child": sum(p.age is not None and p.age < 16 for p in people)}
+
+
+def test_session_settings(spark):
+    from tablegauge import session
+
+    assert session.build().conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+
+
 def test_sample_files(spark, tmp_path, crash_table):
     built = truth.build_samples(crash_table, corpus.INTENTS["crashes"])
     sample_files.write_samples(built, str(tmp_path / "s"))
