@@ -33,6 +33,7 @@ CONFIGS_BY_DATASET = {
 # The five scores and the four provenance verdicts, in report order.
 SCORES = ["tool_choice", "filter_rows", "answer_correct", "format_adherence", "number_honesty"]
 VERDICTS = ["honest", "unverified", "wrong", "silent"]
+TOTAL_LABEL = "**total**"  # model name of total rows
 
 # Reply template markers, and the one dataset whose template asks for a suggestion.
 TEMPLATE_MARKERS = ["🎯", "📊", "💡"]

@@ -96,12 +96,13 @@ def score_runs(runs: DataFrame, statement_rows: str | None = None,
 def explanations(statement: str = "update_sql", statement_rows: str = "statement_rows",
                  suggestion_datasets: list[str] = fv.SUGGESTION_DATASETS) -> dict[str, Column]:
     """Why each score came out as it did, and the part of the run it judged."""
+    # The wording, which logs and their readers know.
     text, sql, rows = F.col("text"), F.col(statement), F.col(statement_rows)
     allowed = tools.allowed_tool_sets(F.col("expected_tools"), F.col("family"), F.col("config"))
     allowed_text = F.array_join(F.transform(allowed, lambda a: replies.listed(a, quote=True)), ", ")
     tool_why = F.when(errors.has_error(F.col("error")), F.concat(F.lit("API error: "), F.col("error"))).otherwise(
         F.concat(F.lit("allowed ["), allowed_text, F.lit("] under "), F.coalesce("config", F.lit(""))))
-    filter_why = (F.when(F.coalesce(sql, F.lit("")) == "", F.lit(f"no update_dashboard SQL"))
+    filter_why = (F.when(F.coalesce(sql, F.lit("")) == "", F.lit("no update_dashboard SQL"))
                   .when(rows.isNull(), F.concat(F.lit("SQL error: "), sql))
                   .otherwise(F.concat(rows.cast("string"), F.lit(" rows (want "),
                                       replies.listed(F.col("truth_rows")), F.lit("): "), sql)))

@@ -78,7 +78,7 @@ def spend_with_total(spends: DataFrame) -> DataFrame:
     return (spends.rollup("model").agg(F.sum("samples").alias("samples"), F.sum("retries").alias("retries"),
                                        F.sum("usd").alias("usd"), F.grouping("model").alias("is_total"))
             .orderBy("is_total", "model")
-            .select(F.when(F.col("is_total") == 1, F.lit("**total**")).otherwise(F.col("model")).alias("model"),
+            .select(F.when(F.col("is_total") == 1, F.lit(fv.TOTAL_LABEL)).otherwise(F.col("model")).alias("model"),
                     "samples", "retries", "usd"))
 
 

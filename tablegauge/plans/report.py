@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from tablegauge import fixed_values as fv
 from tablegauge.functions.rounding import percent, ratio, round_scaled
+from tablegauge.workdir import written
 
 DIMENSIONS = ["dataset", "model", "config", "family", "trap", "error_kind", "honesty"]
-TOTAL_LABEL = "**total**"
 COMPOSITE_SCORES = ["tool_choice", "filter_rows", "answer_correct"]
 
 
@@ -224,7 +224,7 @@ def volume(c: DataFrame) -> DataFrame:
     """Requests, calls and retries per model with a total row."""
     return (c.rollup("model").agg(F.sum("requests").alias("requests"), F.sum("api_calls").alias("api_calls"),
                                   F.sum("retries").alias("retry_attempts"), F.grouping("model").alias("is_total"))
-            .select(F.when(F.col("is_total") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("model")).alias("model"),
+            .select(F.when(F.col("is_total") == 1, F.lit(fv.TOTAL_LABEL)).otherwise(F.col("model")).alias("model"),
                     "requests", "api_calls", "retry_attempts"))
 
 
@@ -260,19 +260,37 @@ def on_dataset(c: DataFrame, dataset: str) -> DataFrame:
 
 
 def report_tables(c: DataFrame, main: str, control: str, kinds: Sequence[str]) -> dict[str, DataFrame]:
-    """All tables of a report from cells over ``DIMENSIONS``: accuracy on the main dataset,
-    the control dataset's scores and verdicts, errors and volume over everything."""
+    """All tables of a report that cells over ``DIMENSIONS`` can give: accuracy and summary figures
+    of the main dataset, scores and verdicts of the control dataset, errors and volume of both."""
     m, k = on_dataset(c, main), on_dataset(c, control)
-    percents = score_percents(m)
+    answers, template = accuracy_table(m, "answer_correct"), accuracy_table(m, "format_adherence", fv.FORMAT_CONFIGS)
+    trap_filters, untrusted = accuracy_table(traps(m), "filter_rows"), untrusted_share(m)
     return {
-        "ranking": ranking(composite(percents)),
+        "ranking": ranking(composite(score_percents(m))),
         "error_rate": error_rate(c), "errors": error_table(c, kinds), "error_kinds": error_kinds(c),
-        "tool_choice": accuracy_table(m, "tool_choice"),
-        "filter_rows": accuracy_table(m, "filter_rows"),
-        "filter_rows_traps": accuracy_table(traps(m), "filter_rows"),
-        "answer_correct": accuracy_table(m, "answer_correct"),
-        "format_adherence": accuracy_table(m, "format_adherence", fv.FORMAT_CONFIGS),
-        "untrusted_share": untrusted_share(m), "verdicts": verdict_table(m),
+        "tool_choice": accuracy_table(m, "tool_choice"), "filter_rows": accuracy_table(m, "filter_rows"),
+        "filter_rows_traps": trap_filters, "answer_correct": answers, "format_adherence": template,
+        "untrusted_share": untrusted, "verdicts": verdict_table(m),
+        "traps_before_after": before_after(trap_filters, "baseline", "datadesc"),
+        "traps_baseline": column_summary(trap_filters, "baseline"),
+        "traps_datadesc": column_summary(trap_filters, "datadesc"),
+        "untrusted_before_after": before_after(widened(untrusted, "value", fv.FORMAT_CONFIGS), *fv.FORMAT_CONFIGS),
+        "answers_baseline": column_summary(answers, "baseline"),
+        "template_range": column_summary(template, fv.FORMAT_CONFIGS[-1]),
         "control_scores": in_report_order(score_means(k)), "control_verdicts": verdict_counts(k),
         "volume": volume(c),
     }
+
+
+def full_report(facts: DataFrame, main: str, control: str, kinds: Sequence[str]) -> dict[str, DataFrame]:
+    """Every report table of scored facts.
+
+    One pass writes the cells, which all accuracy, error and volume tables read. Only the tables
+    that count distinct phrasings go back to the facts.
+    """
+    tables = report_tables(written(cells(facts, DIMENSIONS), "cells"), main, control, kinds)
+    tables["coverage"] = family_coverage(on_dataset(facts, main))
+    tables["run_facts"] = run_facts(facts)
+    if {"epochs", "max_samples"} <= set(facts.columns):
+        tables["run_settings"] = run_settings(facts)
+    return tables

@@ -115,9 +115,8 @@ def test_report_tables_agree_with_pandas(spark):
 
     rows, facts = fact_rows(spark)
     d = pd.DataFrame(rows, columns=facts.columns)
-    cells = report.cells(facts, report.DIMENSIONS).cache()
     kinds = ["malformed tool call", "TimeoutError"]
-    built = report.report_tables(cells, "main", "control", kinds)
+    built = report.full_report(facts, "main", "control", kinds)
     main = d[d.dataset == "main"]
     expected = (main[main.tool_choice.notna()].groupby(["model", "config"]).tool_choice.mean() * 100).round(0).unstack("config")
     for r in built["tool_choice"].collect():
@@ -133,12 +132,18 @@ def test_report_tables_agree_with_pandas(spark):
         assert [r[v] for v in fv.VERDICTS] == [(m.honesty == v).sum() for v in fv.VERDICTS]
         assert r.honest_share == round((m.honesty == "honest").mean() * 100)
     totals = {r.model: tuple(r)[1:] for r in built["volume"].collect()}
-    assert totals[report.TOTAL_LABEL] == (len(d), d.api_calls.sum(), d.retries.sum())
+    assert totals[fv.TOTAL_LABEL] == (len(d), d.api_calls.sum(), d.retries.sum())
     shares = {(r.model, r.config): r.value for r in built["untrusted_share"].collect()}
     judged = main[main.honesty.notna()]
     assert shares == pytest.approx(dict(judged.honesty.isin(["wrong", "unverified"]).groupby([judged.model, judged.config]).mean() * 100))
     order = [(r.model, r.config) for r in built["control_scores"].collect()]
     assert order == sorted(order, key=lambda x: (x[0], fv.CONFIG_ORDER.index(x[1])))
+    wide = {r.model: r for r in built["filter_rows_traps"].collect()}
+    assert {r.model: (r.before, r.after) for r in built["traps_before_after"].collect()} == {
+        m: (r.baseline, r.datadesc) for m, r in wide.items() if None not in tuple(r)}
+    baseline = [r.baseline for r in built["answer_correct"].collect() if r.baseline is not None]
+    assert tuple(built["answers_baseline"].first()) == (
+        int(sum(baseline) / len(baseline)), min(baseline), max(baseline))
     for table in built.values():
         table.collect()
 
