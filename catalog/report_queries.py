@@ -122,7 +122,7 @@ def _percents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("R11_complete_models", REPORT_SQL + "select model from complete")
 def complete_models(spark, sf_dir):
-    return report.complete_models(_percents(spark, sf_dir), SCORES)
+    return report.complete_models(_percents(spark, sf_dir))
 
 
 @query("R12_composite", REPORT_SQL + "select model, composite from composites")

@@ -99,21 +99,23 @@ def score_percents(c: DataFrame, scores: Sequence[str] = COMPOSITE_SCORES) -> Da
     return wide.unpivot(["model", "config"], list(scores), "score", "value").where(F.col("value").isNotNull())
 
 
-def complete_models(percents: DataFrame, scores: Sequence[str] = COMPOSITE_SCORES) -> DataFrame:
-    """Models that have a value for every config that occurs, in every score.
+def _column_count(percents: DataFrame) -> DataFrame:
+    """One row: number of (score, config) columns that any model has."""
+    return percents.select("score", "config").distinct().agg(F.count(F.lit(1)).alias("columns"))
 
-    The expected number of values is the number of (score, config) columns any model has.
-    """
-    columns = percents.select("score", "config").distinct().agg(F.count(F.lit(1)).alias("columns"))
+
+def complete_models(percents: DataFrame) -> DataFrame:
+    """Models that have a value for every config that occurs, in every score."""
     return (percents.groupBy("model").agg(F.count("value").alias("n"))
-            .join(columns, F.col("n") == F.col("columns"), "left_semi").select("model"))
+            .join(_column_count(percents), F.col("n") == F.col("columns"), "left_semi").select("model"))
 
 
 def composite(percents: DataFrame) -> DataFrame:
     """Mean over scores of the mean over configs of the rounded percents, complete models only."""
-    by_score = percents.groupBy("model", "score").agg(F.avg("value").alias("mean"))
-    return (by_score.groupBy("model").agg(F.avg("mean").alias("composite"))
-            .join(complete_models(percents), "model", "left_semi"))
+    by_score = percents.groupBy("model", "score").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    by_model = by_score.groupBy("model").agg(F.avg("mean").alias("composite"), F.sum("n").alias("n"))
+    return (by_model.join(_column_count(percents), F.col("n") == F.col("columns"), "left_semi")
+            .select("model", "composite"))
 
 
 def ranking(composites: DataFrame) -> DataFrame:
