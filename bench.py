@@ -35,6 +35,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
              .config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
+             # Call sites of columns are for debugging and make plans slow to build.
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
