@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from catalog import ORACLES, QUERIES
 from tests.compare import connect, differences, duck_table, spark_table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -22,13 +23,13 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    frame = entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     mine = spark_table(frame)
     plan = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "simple")
     assert not [bad for bad in UNWANTED if bad in plan]
-    assert differences(mine, duck_table(duck, entry.oracle_sql()[name])) == []
+    assert differences(mine, duck_table(duck, ORACLES[name])) == []
 
 
 def test_entry(spark):
