@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import exact_dedup
+from tablegauge.llm import exact_dedup, quality_rules
 from tablegauge.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op10_exact_dedup": op10_exact_dedup}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict of the voting rules."""
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", "posterior")
+
+
+QUERIES: dict[str, Query] = {"op3_quality_rules": op3_quality_rules, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
