@@ -149,7 +149,8 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
                           F.xxhash64("digest").alias("fingerprint"))
     narrow, suspects = exchange(prints, docs.count())
     suspects = staged(suspects, "suspects")
-    ids = suspects.select(F.col("doc_id").alias("_id")).distinct()
+    # Sort-merge at every size: suspects grow with the corpus.
+    ids = suspects.select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     # The bytes of suspects: copies shrink to one row in each task before they are shuffled.
     verified = (texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
                 .groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n")))

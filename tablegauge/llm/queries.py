@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablegauge.llm import exact_dedup, quality_rules
+from tablegauge.llm import exact_dedup, packing, quality_rules
 from tablegauge.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in sequences of 4096 ids."""
+    packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), word_vocabulary())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document and the verdict of the voting rules."""
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
@@ -24,7 +37,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "posterior")
 
 
-QUERIES: dict[str, Query] = {"op3_quality_rules": op3_quality_rules, "op10_exact_dedup": op10_exact_dedup}
+QUERIES: dict[str, Query] = {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
