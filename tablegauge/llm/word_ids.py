@@ -5,6 +5,8 @@ Most words of a corpus are few words over and over: each distinct word is given
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 # Words a worker remembers; beyond that it starts anew.
@@ -47,28 +49,33 @@ class WordIds:
 
     def forget(self) -> None:
         self.places = _Places()
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
-    def split(word: bytes) -> tuple[str, ...]:
-        text = word.decode("utf-8", "replace")
-        core = text.rstrip(".,")
-        if core.isascii():
-            text, core = text.lower(), core.lower()
-        return (core, text[len(core):]) if core != text and core[-1:].isalpha() else (text,)
+    def split(word: bytes) -> tuple[bytes, ...]:
+        low = word if b"<|" in word else word.lower()  # not where case tells a special token from its look-alike
+        core = low.rstrip(b".,")
+        if len(core) < len(low) and (core[-1:].isalpha() or core[-1:] >= b"\x80" and core.decode()[-1].isalpha()):
+            return core, low[len(core):]
+        return (low,)
 
     def learn(self) -> None:
         """Encode the words that wait."""
         split = [self.split(word) for word in self.places.waiting]
-        new = list(dict.fromkeys(part for parts in split for part in parts if part not in self.parts))
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            begins = np.cumsum([0, *(len(part) + 1 for part in some)])
-            made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        one, others = self.tokenizer.model.tokenize, []
+        for part in {part for parts in split for part in parts if part not in self.parts}:
+            if part.isalpha():  # ASCII letters only, lower-case: nothing to normalise or to split
+                self.parts[part] = np.array([token.id for token in one(part.decode())], np.uint32).tobytes()
+            else:
+                others.append(part)
+        for at in range(0, len(others), 20_000):
+            some = others[at:at + 20_000]
+            texts = [part.decode("utf-8", "replace") for part in some]
+            begins = np.cumsum([0, *(len(text) + 1 for text in texts)])
+            made = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(made.ids, np.uint32)
-            places = np.array([span[0] for span in made.offsets], np.int64)
-            ends = np.searchsorted(places, begins[1:])
+            ends = np.searchsorted(np.array([span[0] for span in made.offsets], np.int64), begins[1:])
             for part, begin, end in zip(some, [0, *ends[:-1]], ends):
                 self.parts[part] = ids[begin:end].tobytes()
         coded = [b"".join([self.parts[part] for part in parts]) for parts in split]
@@ -82,7 +89,7 @@ class WordIds:
         if len(self.places) > MEMORY:
             self.forget()
         words = [text.split() for text in texts]
-        places = np.fromiter((self.places[w] for doc in words for w in doc), np.int64, sum(map(len, words)))
+        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         if self.places.waiting:
             self.learn()
         counts = self.counts[places]
