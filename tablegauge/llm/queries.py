@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import exact_dedup, packing, quality_rules
+from tablegauge.llm import exact_dedup, near_dedup, packing, quality_rules
 from tablegauge.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+NEAR = near_dedup.Settings(words=2, percent=80)
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document among links of two-word shingles with a similarity of 0.8 or more."""
+    return near_dedup.link(read_table(spark, sf_dir, "documents"), NEAR)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document and the verdict of the voting rules."""
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
@@ -37,7 +45,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "posterior")
 
 
-QUERIES: dict[str, Query] = {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op10_exact_dedup": op10_exact_dedup}
+QUERIES: dict[str, Query] = {"op1_best_fit_packing": op1_best_fit_packing, "op2_near_dedup": op2_near_dedup, "op3_quality_rules": op3_quality_rules, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
