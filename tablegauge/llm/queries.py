@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import exact_dedup, near_dedup, packing, quality_rules
+from tablegauge.llm import exact_dedup, near_dedup, packing, quality_rules, sharding
 from tablegauge.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "posterior")
 
 
-QUERIES: dict[str, Query] = {"op1_best_fit_packing": op1_best_fit_packing, "op2_near_dedup": op2_near_dedup, "op3_quality_rules": op3_quality_rules, "op10_exact_dedup": op10_exact_dedup}
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    return sharding.shard(read_table(spark, sf_dir, "documents"), 40)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_kd_sharding": op6_kd_sharding,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
