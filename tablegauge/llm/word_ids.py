@@ -5,12 +5,15 @@ Most words of a corpus are few words over and over: each distinct word is given
 
 from __future__ import annotations
 
+import re
+from array import array
 from itertools import chain
 
 import numpy as np
 
 # Words a worker remembers; beyond that it starts anew.
-MEMORY = 400_000
+MEMORY = 800_000
+STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|$)")
 
 
 class _Places(dict):
@@ -29,7 +32,7 @@ class WordIds:
     """Ids of whole texts, word by word, equal to the tokenizer's own ``encode(text, add_special_tokens=False)``.
 
     Holds for tokenizers that drop white space and split at it before anything else. A trailing full stop or comma after a
-    letter is a word of its own for them, so that "word" and "word," share one entry.
+    letter is a word of its own for them and ASCII capitals are lowered, so that "word" and "Word," share one entry.
     """
 
     _made: dict[str, WordIds] = {}
@@ -49,46 +52,43 @@ class WordIds:
 
     def forget(self) -> None:
         self.places = _Places()
-        self.parts: dict[bytes, bytes] = {}
         self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    @staticmethod
-    def split(word: bytes) -> tuple[bytes, ...]:
-        low = word if b"<|" in word else word.lower()  # not where case tells a special token from its look-alike
-        core = low.rstrip(b".,")
-        if len(core) < len(low) and (core[-1:].isalpha() or core[-1:] >= b"\x80" and core.decode()[-1].isalpha()):
-            return core, low[len(core):]
-        return (low,)
-
     def learn(self) -> None:
         """Encode the words that wait."""
-        split = [self.split(word) for word in self.places.waiting]
-        one, others = self.tokenizer.model.tokenize, []
-        for part in {part for parts in split for part in parts if part not in self.parts}:
-            if part.isalpha():  # ASCII letters only, lower-case: nothing to normalise or to split
-                self.parts[part] = np.array([token.id for token in one(part.decode())], np.uint32).tobytes()
+        waiting, one = self.places.waiting, self.tokenizer.model.tokenize
+        coded: list[bytes] = [b""] * len(waiting)
+        others = []
+        for place, word in enumerate(waiting):
+            if word.isalpha() and word.islower():  # ASCII letters only: nothing to normalise or to split
+                coded[place] = array("I", [token.id for token in one(word.decode())]).tobytes()
             else:
-                others.append(part)
+                others.append(place)
         for at in range(0, len(others), 20_000):
             some = others[at:at + 20_000]
-            texts = [part.decode("utf-8", "replace") for part in some]
+            texts = [waiting[place].decode("utf-8", "replace") for place in some]
             begins = np.cumsum([0, *(len(text) + 1 for text in texts)])
             made = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(made.ids, np.uint32)
             ends = np.searchsorted(np.array([span[0] for span in made.offsets], np.int64), begins[1:])
-            for part, begin, end in zip(some, [0, *ends[:-1]], ends):
-                self.parts[part] = ids[begin:end].tobytes()
-        coded = [b"".join([self.parts[part] for part in parts]) for parts in split]
+            for place, begin, end in zip(some, [0, *ends[:-1]], ends):
+                coded[place] = ids[begin:end].tobytes()
         counts = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         starts = len(self.ids) + np.cumsum(counts) - counts
         self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), np.uint32)])
-        self.places.waiting.clear()
+        waiting.clear()
+
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        if b"<|" not in text:  # where case tells a special token from its look-alike, it stays
+            text = text.lower()
+        return STOP.sub(rb" \g<0>", text).split()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.places) > MEMORY:
             self.forget()
-        words = [text.split() for text in texts]
+        words = list(map(self.words, texts))
         places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         if self.places.waiting:
             self.learn()
