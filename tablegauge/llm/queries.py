@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import exact_dedup, near_dedup, packing, pii, quality_rules, sharding
+from tablegauge.llm import exact_dedup, html_text, near_dedup, packing, pii, quality_rules, sharding
 from tablegauge.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "posterior")
 
 
+def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     return sharding.shard(read_table(spark, sf_dir, "documents"), 40)
@@ -65,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_template_removal": op5_template_removal,
     "op6_kd_sharding": op6_kd_sharding,
     "op9_contextual_pii": op9_contextual_pii,
     "op10_exact_dedup": op10_exact_dedup,
