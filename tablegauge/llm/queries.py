@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import exact_dedup, html_text, near_dedup, packing, pii, quality_rules, sharding
+from tablegauge.llm import exact_dedup, html_text, near_dedup, packing, pieces, pii, quality_rules, sharding
 from tablegauge.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,22 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 40)
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    encoded = pieces.encode(read_table(spark, sf_dir, "documents"), piece_model())
+    told = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(pieces.written_ids(F.col("ids")), 256).alias("ids_sha256"), "ids",
+                          F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes"))
+    decoded = pieces.decode(told, piece_model())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), "n_bytes")
+
+
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the exact patterns, and all spans."""
     found = pii.find(read_table(spark, sf_dir, "documents"))
@@ -73,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_template_removal": op5_template_removal,
     "op6_kd_sharding": op6_kd_sharding,
+    "op7_aligned_pieces": op7_aligned_pieces,
     "op9_contextual_pii": op9_contextual_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
