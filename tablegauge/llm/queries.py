@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import exact_dedup, html_text, near_dedup, packing, pieces, pii, quality_rules, sharding
-from tablegauge.llm.shared import read_table
+from tablegauge.llm import chat, exact_dedup, html_text, near_dedup, packing, pieces, pii, quality_rules, sharding
+from tablegauge.llm.shared import pick, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,28 @@ def op7_aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), "n_bytes")
 
 
+def op8_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of what is trained on, read back from its windows."""
+    said = "\\### Assistant: </turn> ok"
+    turns = pick(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    probe = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")),
+                                                    F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
+    probe = probe.select(F.lit(-7).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role",
+                         F.lit(said).alias("text"))
+    made = chat.windows(turns.unionByName(probe))
+    lines = F.transform(chat.read_turns(F.col("text"), F.col("n_repeated")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    read = made.select("conv_id", "window", F.size(lines).alias("turns"), F.array_join(lines, "").alias("said"),
+                       F.array_join(chat.read_targets(F.col("text"), F.col("loss")), "").alias("trained"),
+                       F.length("text").alias("chars"))
+    whole = read.groupBy("conv_id").agg(
+        F.sum("turns").cast("long").alias("n_turns"), F.sum("chars").cast("long").alias("formatted_chars"),
+        F.array_sort(F.collect_list(F.struct("window", "said", "trained"))).alias("parts"))
+    said_all, trained = (F.array_join(F.transform("parts", f), "") for f in (lambda p: p.said, lambda p: p.trained))
+    return whole.select("conv_id", "n_turns", F.sha2(said_all, 256).alias("turns_sha256"),
+                        F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"),
+                        "formatted_chars")
+
+
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the exact patterns, and all spans."""
     found = pii.find(read_table(spark, sf_dir, "documents"))
@@ -90,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op5_template_removal": op5_template_removal,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_aligned_pieces": op7_aligned_pieces,
+    "op8_budgeted_windows": op8_budgeted_windows,
     "op9_contextual_pii": op9_contextual_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
