@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm import chat, exact_dedup, html_text, near_dedup, packing, pieces, pii, quality_rules, sharding
-from tablegauge.llm.shared import pick, read_table
+from tablegauge.llm.shared import pick, piece_model, read_table, word_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +18,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
 
 
-def word_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in sequences of 4096 ids."""
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), word_vocabulary())
@@ -56,12 +50,6 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 40)
 
 
-def piece_model() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def op7_aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
     encoded = pieces.encode(read_table(spark, sf_dir, "documents"), piece_model())

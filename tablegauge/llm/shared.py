@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablegauge.workdir import new_path
 
 # White space and words are those of the contracts: ASCII only, so bytes.split() finds the same words.
 SPACES = r"[\x20\x09-\x0D]+"
-TABLE_SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +35,19 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def word_vocabulary() -> str:
+    """Place of the word-level vocabulary on this machine; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -50,8 +62,6 @@ def dense_positions(df: DataFrame, group: str, order: list[str], name: str, rows
     total = df.count()
     parts = max(1, -(-total // rows_per_task), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    from pyspark.sql import Window
-
     counts = dealt.groupBy(group, "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col(group).alias("_group"), F.col("_sub").alias("_sub2"),
