@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import chat, exact_dedup, html_text, near_dedup, packing, pieces, pii, quality_rules, sharding
+from tablegauge.llm import chat, exact_dedup, html_text, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, sharding
 from tablegauge.llm.shared import pick, piece_model, read_table, word_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "posterior")
 
 
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by weighted rules over its statistics."""
+    return quality_classifier.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html_text.extract(read_table(spark, sf_dir, "pages"))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_rule_ensemble": op4_rule_ensemble,
     "op5_template_removal": op5_template_removal,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_aligned_pieces": op7_aligned_pieces,
