@@ -13,7 +13,7 @@ from tablegauge.operators.dashboard import Dashboard
 from tablegauge.operators.statements import bind, try_statement
 from tablegauge.plans.truth import filter_truth
 from tablegauge.sources import runlogs, samples, tables
-from tablegauge.workdir import new_path
+from tablegauge.workdir import new_path, written
 
 MANIFEST = v.with_ctes(v.MANIFEST)
 RUNS = v.with_ctes(v.RUNS)
@@ -100,9 +100,11 @@ def schema_profile(spark, sf_dir):
 @query("D4_low_cardinality_values", MANIFEST + """
     select 'lang' as column_name, lang as value, count(*) as n from manifest where lang is not null group by lang
     union all select 'is_toxic', cast(is_toxic as varchar), count(*) from manifest
-      where is_toxic is not null group by is_toxic""")
+      where is_toxic is not null group by is_toxic
+    union all select 'source', source, count(*) from manifest
+      where source is not null and (select count(distinct source) from manifest) <= 20 group by source""")
 def low_cardinality(spark, sf_dir):
-    return dash.vocabulary_values(v.manifest(spark, sf_dir).drop("source"), limit=20)
+    return dash.vocabulary_values(v.manifest(spark, sf_dir), limit=20)
 
 
 # Words of the dictionary with the condition each stands for.
@@ -267,18 +269,12 @@ def logged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("sample"))
 
 
-_LOG_PATHS: dict[tuple[str, str], str] = {}
-
-
 def nested_logs_path(spark: SparkSession, sf_dir: str) -> str:
-    """Nested logs of one sample each, written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LOG_PATHS:
-        path = new_path(spark, "logs")
-        (logged_samples(spark, sf_dir).withColumn("samples", F.array("sample"))
-         .select("status", "created", "epochs", "max_samples", "metadata", "samples").write.json(path))
-        _LOG_PATHS[key] = path
-    return _LOG_PATHS[key]
+    """Nested logs of one sample each, written anew for each reader."""
+    path = new_path(spark, "logs")
+    (logged_samples(spark, sf_dir).withColumn("samples", F.array("sample"))
+     .select("status", "created", "epochs", "max_samples", "metadata", "samples").write.json(path))
+    return path
 
 
 @query("S7_read_successful_logs", v.with_ctes(v.RUNS, _LOGS_SQL) + """
@@ -320,7 +316,6 @@ def facts_csv(spark, sf_dir):
     select 'requests', model, count(*) from scored group by model""")
 def report_files(spark, sf_dir):
     from tablegauge.plans import report
-    from tablegauge.workdir import written
 
     path = new_path(spark, "reports")
     cells = written(report.cells(v.facts(spark, sf_dir), ["model"]), "cells")
@@ -335,9 +330,10 @@ def report_files(spark, sf_dir):
     select 'good' as name, count(*) as n from manifest where quality = 1 union all
     select 'short', count(*) from manifest where n_chars < 500""")
 def reused_table(spark, sf_dir):
-    registry = tables.Registry(spark)
-    registry.add("manifest", lambda: v.manifest(spark, sf_dir), "quality")
-    table = registry.table("manifest", keep=True)
-    good = Dashboard(table.frame, "manifest").query("SELECT count(*) AS n FROM manifest WHERE quality = 1")
-    short = Dashboard(table.frame, "manifest").query("SELECT count(*) AS n FROM manifest WHERE n_chars < 500")
-    return good.select(F.lit("good").alias("name"), "n").unionByName(short.select(F.lit("short").alias("name"), "n"))
+    with tables.Registry(spark) as registry:
+        registry.add("manifest", lambda: v.manifest(spark, sf_dir), "quality")
+        table = registry.table("manifest", keep=True)
+        good = Dashboard(table.frame, "manifest").query("SELECT count(*) AS n FROM manifest WHERE quality = 1")
+        short = Dashboard(table.frame, "manifest").query("SELECT count(*) AS n FROM manifest WHERE n_chars < 500")
+        both = good.select(F.lit("good").alias("name"), "n").unionByName(short.select(F.lit("short").alias("name"), "n"))
+        return written(both, "reused")

@@ -155,9 +155,9 @@ def retry_wait(spark, sf_dir):
       select *, row_number() over (partition by request order by
         coalesce(contains(error, 'RateLimitError'), false),
         case when contains(error, 'RateLimitError') then -attempt else attempt end) as r
-      from attempts where attempt <= 2) t where r = 1""")
+      from attempts) t where r = 1""")
 def kept_attempt(spark, sf_dir):
-    return extract.kept_attempts(attempts(spark, sf_dir), ["request"], max_retries=2).select(
+    return extract.kept_attempts(attempts(spark, sf_dir), ["request"]).select(
         "request", "retries", "k", "error")
 
 

@@ -172,11 +172,18 @@ def error_volume(spark, sf_dir):
 
 
 @query("R18_error_table", SCORED + _VOLUME + "".join(
-    f", count(*) filter (error_kind = '{k}') as \"{k}\"" for k in KINDS) + " from scored group by model")
+    f", count(*) filter (error_kind = '{k}') as \"{k}\"" for k in KINDS)
+    + ", count(*) filter (error_kind not in (" + ", ".join(f"'{k}'" for k in KINDS) + ")) as other from scored group by model")
 def error_table(spark, sf_dir):
     return report.error_table(cells(spark, sf_dir, "model", "error_kind"), KINDS)
 
 
+@query("R18_error_table_of_found_kinds", SCORED + _VOLUME + "".join(
+    f", count(*) filter (error_kind = '{k}') as \"{k}\"" for k in KINDS) + " from scored group by model")
+def error_table_of_found_kinds(spark, sf_dir):
+    return report.error_table(written(cells(spark, sf_dir, "model", "error_kind"), "cells"))
+
+
 @query("R18_error_kinds_long", SCORED + """
     select model, error_kind, count(*) as n from scored where error_kind is not null group by model, error_kind""")
 def error_kinds(spark, sf_dir):

@@ -113,9 +113,9 @@ def numbers_in_replies(spark, sf_dir):
 
 @query("C7_numbers_in_documents", f"""
     select doc_id, len(nums) as n, list_max(nums) as highest, nums[1] as first_number
-    from (select doc_id, {_NUMBERS.format(t='text')} as nums from documents) t where len(nums) > 0""")
+    from (select doc_id, {_NUMBERS.format(t='text')} as nums from documents) t""")
 def numbers_in_documents(spark, sf_dir):
-    return _number_stats(v.read(spark, sf_dir, "documents"), "doc_id").where(F.col("n") > 0).drop("total")
+    return _number_stats(v.read(spark, sf_dir, "documents"), "doc_id").drop("total")
 
 
 def _number_stats(frame: DataFrame, key: str) -> DataFrame:

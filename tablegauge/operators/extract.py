@@ -114,16 +114,16 @@ def tool_call_results(call_rows: DataFrame, run: str, position: str = "position"
 
 
 def kept_attempts(attempts: DataFrame, request: list[str], attempt: str = "attempt", error: str = "error",
-                  max_retries: int = 6) -> DataFrame:
-    """One attempt per request: the first that is not rate-limited, else the last allowed one.
+                  max_retries: int | None = None) -> DataFrame:
+    """One attempt per request: the first that is not rate-limited, else the last one.
 
-    A request's attempts are reduced by a running minimum, map-side first, instead of
-    being sorted together.
+    All logged attempts count; ``max_retries`` leaves out those beyond a limit that a caller names.
     """
     limited = errors.is_rate_limited(F.col(error))
     order = F.struct(limited.alias("limited"),
                      F.when(limited, -F.col(attempt)).otherwise(F.col(attempt)).alias("rank"))
     payload = [c for c in attempts.columns if c not in request]
     best = F.min_by(F.struct(*payload), order).alias("kept")
-    return (attempts.where(F.col(attempt) <= max_retries).groupBy(*request).agg(best)
+    allowed = attempts if max_retries is None else attempts.where(F.col(attempt) <= max_retries)
+    return (allowed.groupBy(*request).agg(best)
             .select(*request, "kept.*").withColumn("retries", F.col(attempt)))

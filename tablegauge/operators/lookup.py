@@ -30,7 +30,11 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, s
     """
     left_hash, right_hash = F.xxhash64(*[a for a, _ in keys]), F.xxhash64(*[b for _, b in keys])
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
-    salted_left = left.withColumn("_salt", F.when(left_hash.isin(list(hot)), spread).otherwise(F.lit(0)).cast("int"))
+    # NULL keys match nothing, so they may lie anywhere; there may be very many of them.
+    unmatched = F.lit(False)
+    for a, _ in keys:
+        unmatched = unmatched | F.col(a).isNull()
+    salted_left = left.withColumn("_salt", F.when(unmatched | left_hash.isin(list(hot)), spread).otherwise(F.lit(0)).cast("int"))
     copies = F.when(right_hash.isin(list(hot)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     names = {b: f"_key_{b}" for _, b in keys}
     salted_right = right.withColumn("_right_salt", F.explode(copies)).withColumnsRenamed(names)
@@ -51,6 +55,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Se
     stored = written(right, name)
     size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        return left.join(F.broadcast(stored), list(keys), "left")
+        added = [c for c in right.columns if c not in keys]
+        return left.join(F.broadcast(stored), list(keys), "left").select(*left.columns, *added)
     uses = written(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("uses")), f"{name}-uses")
     return salted_lookup(left, stored, [(k, k) for k in keys], hot_hashes(uses, keys), spread_by)

@@ -6,6 +6,7 @@ touches rows runs as Spark jobs. Simple filters on one table share a single scan
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import uuid
@@ -46,9 +47,9 @@ STATEMENT_FAULTS = (
 
 COUNT_SCHEMA = "dataset string, statement string, uses bigint, n bigint, fault string"
 
-_QUOTED_OR_COMMENT = re.compile(
-    r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`", re.DOTALL)
-_HOST_CALLS = re.compile(r"\b(?:java_method|(?:try_)?reflect)\b[`\"]?\s*\(", re.IGNORECASE)
+# What an analysed plan may not hold, by class, and the leaves it may have besides those of the bound table.
+_HOST_CALLS = {"CallMethodViaReflection", "TryReflect"}
+_OWN_ROWS = {"OneRowRelation", "LocalRelation", "Range", "ResolvedInlineTable", "CTERelationRef"}
 _SIMPLE_FILTER = re.compile(
     r"\s*select\s+\*\s+from\s+[\"`]?(?P<table>\w+)[\"`]?\s+where\s+(?P<condition>.+)", re.IGNORECASE | re.DOTALL)
 
@@ -78,22 +79,14 @@ def body_of(sql: str | None) -> str:
 
 
 def gated(sql: str | None, table: Binding) -> str:
-    """Wrap a statement so that only one read-only query can run.
+    """Wrap a statement that stands alone as one query: Spark's own parser takes no command and no second statement.
 
-    The text becomes a subquery: commands and second statements no longer parse. The
-    bound name is a common table expression, so it wins over any view of the session.
+    The bound name is a common table expression, so it wins over any view of the session.
     """
     body = body_of(sql)
     if not body:
         raise RefusedStatement("empty statement")
-    bare = _QUOTED_OR_COMMENT.sub(lambda m: " " if m[0][0] in "-/" else m[0], body)
-    if _HOST_CALLS.search(bare):
-        raise RefusedStatement("calls into the host are not allowed")
-    depth = 0
-    for bracket in re.findall(r"[()]", _QUOTED_OR_COMMENT.sub(" ", body)):
-        depth += 1 if bracket == "(" else -1
-        if depth < 0:
-            raise RefusedStatement("unbalanced parentheses")
+    table.frame.sparkSession._jsparkSession.sessionState().sqlParser().parseQuery(body)
     return f"WITH `{table.name}` AS (SELECT * FROM {table.view}) SELECT * FROM (\n{body}\n) answer"
 
 
@@ -101,7 +94,58 @@ def run_statement(sql: str | None, table: Binding) -> DataFrame:
     """Analyse a gated statement; faults in it raise, rows stay lazy."""
     spark = table.frame.sparkSession
     with session_settings(spark, GATE_SETTINGS):
-        return spark.sql(gated(sql, table))
+        answer = spark.sql(gated(sql, table))
+    _check_plan(answer, table)
+    return answer
+
+
+def _plans(plan) -> Iterator:
+    """An analysed plan and the plans of the subqueries in its expressions."""
+    yield plan
+    inner = plan.subqueriesAll().iterator()
+    while inner.hasNext():
+        yield inner.next()
+
+
+def _leaves(frame: DataFrame) -> list:
+    found = []
+    for plan in _plans(frame._jdf.queryExecution().analyzed()):
+        leaves = plan.collectLeaves().iterator()
+        while leaves.hasNext():
+            found.append(leaves.next())
+    return found
+
+
+def _nodes(value) -> Iterator[tuple[str, dict]]:
+    """Class and fields of all operators and expressions in the JSON form of a plan."""
+    if isinstance(value, dict):
+        if isinstance(value.get("class"), str):
+            yield value["class"].rsplit(".", 1)[-1], value
+        value = list(value.values())
+    if isinstance(value, list):
+        for part in value:
+            yield from _nodes(part)
+
+
+def _told(frame: DataFrame) -> list[tuple[str, dict]]:
+    return [node for plan in _plans(frame._jdf.queryExecution().analyzed()) for node in _nodes(json.loads(plan.toJSON()))]
+
+
+def _views(nodes: list[tuple[str, dict]]) -> set[str]:
+    return {node["desc"]["identifier"]["table"] for name, node in nodes if name == "View"}
+
+
+def _check_plan(answer: DataFrame, table: Binding) -> None:
+    """Refuse calls into the host and rows of other tables, by the analysed plan and whatever its text looks like."""
+    nodes = _told(answer)
+    if any(name in _HOST_CALLS for name, _ in nodes):
+        raise RefusedStatement("calls into the host are not allowed")
+    if not _views(nodes) <= {table.view} | _views(_told(table.frame)):
+        raise RefusedStatement("only the bound table can be read")
+    own = [leaf.canonicalized() for leaf in _leaves(table.frame)]
+    for leaf in _leaves(answer):
+        if leaf.getClass().getSimpleName() not in _OWN_ROWS and not any(leaf.canonicalized().equals(o) for o in own):
+            raise RefusedStatement("only the bound table can be read")
 
 
 def try_statement(sql: str | None, table: Binding) -> DataFrame | None:
@@ -272,15 +316,16 @@ def with_statement_counts(requests: DataFrame, counts: DataFrame, dataset: str =
     right = counts.select(F.col("dataset").alias("key_dataset"), F.col("statement").alias("key_statement"),
                           F.col("n").alias("statement_rows"))
     hot = hot_hashes(counts, ["dataset", "statement"])
-    keyed = requests.withColumn("_normalized", normalized(F.col(statement)))
+    keyed = requests.withColumn("_normalized", F.nullif(normalized(F.col(statement)), F.lit("")))
     keys = [(dataset, "key_dataset"), ("_normalized", "key_statement")]
     return salted_lookup(keyed, right, keys, hot, spread_by).drop("_normalized")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: do two results hold the same rows, repeats included, whatever their order?"""
-    missing = right.exceptAll(left).select(F.lit(1).alias("missing"), F.lit(0).alias("extra"))
-    extra = left.exceptAll(right).select(F.lit(0).alias("missing"), F.lit(1).alias("extra"))
-    counted = missing.unionByName(extra).agg(
-        F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
+    names = [f"_{i}" for i in range(len(left.columns))]
+    sides = left.toDF(*names).withColumn("_d", F.lit(1)).union(right.toDF(*names).withColumn("_d", F.lit(-1)))
+    surplus = sides.groupBy(*names).agg(F.sum("_d").alias("_d")).where("_d <> 0")
+    counted = surplus.agg(F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).alias("missing"),
+                          F.coalesce(F.sum(F.greatest(F.col("_d"), F.lit(0))), F.lit(0)).alias("extra"))
     return counted.withColumn("same", (F.col("missing") == 0) & (F.col("extra") == 0))

@@ -25,7 +25,7 @@ from tablegauge.workdir import written
 REQUEST = ["model", "provider", "reasoning", "config", "sample_id", "epoch"]
 
 
-def run_table(conversations: DataFrame, max_retries: int = 6) -> DataFrame:
+def run_table(conversations: DataFrame, max_retries: int | None = None) -> DataFrame:
     """One run per request from logged attempts: extracted, then the attempt that counts."""
     runs = extract.run_results(conversations)
     return extract.kept_attempts(runs, REQUEST, max_retries=max_retries)

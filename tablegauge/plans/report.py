@@ -93,29 +93,32 @@ def untrusted_share(c: DataFrame) -> DataFrame:
             .agg((ratio(bad, F.sum("requests")) * 100).alias("value")))
 
 
-def score_percents(c: DataFrame, scores: Sequence[str] = COMPOSITE_SCORES) -> DataFrame:
-    """Several accuracy tables in one long table (model, config, score, value), from one pass."""
-    wide = c.groupBy("model", "config").agg(*[percent(_mean(s)).alias(s) for s in scores])
+def score_percents(c: DataFrame, scores: Sequence[str] = COMPOSITE_SCORES,
+                   configs: Sequence[str] = fv.CONFIG_ORDER) -> DataFrame:
+    """Several accuracy tables of the known configs in one long table (model, config, score, value), from one pass."""
+    wide = c.where(F.col("config").isin(list(configs))).groupBy("model", "config").agg(*[percent(_mean(s)).alias(s) for s in scores])
     return wide.unpivot(["model", "config"], list(scores), "score", "value").where(F.col("value").isNotNull())
 
 
-def _column_count(percents: DataFrame) -> DataFrame:
-    """One row: number of (score, config) columns that any model has."""
-    return percents.select("score", "config").distinct().agg(F.count(F.lit(1)).alias("columns"))
+def _with_column_count(percents: DataFrame) -> DataFrame:
+    """Percents with the number of (score, config) columns that any model has: a few rows a model, in one window."""
+    from pyspark.sql import Window
+
+    return percents.withColumn("columns", F.size(F.collect_set(F.struct("score", "config")).over(Window.partitionBy(F.lit(0)))))
 
 
 def complete_models(percents: DataFrame) -> DataFrame:
     """Models that have a value for every config that occurs, in every score."""
-    return (percents.groupBy("model").agg(F.count("value").alias("n"))
-            .join(_column_count(percents), F.col("n") == F.col("columns"), "left_semi").select("model"))
+    return (_with_column_count(percents).groupBy("model").agg(F.count("value").alias("n"), F.max("columns").alias("columns"))
+            .where(F.col("n") == F.col("columns")).select("model"))
 
 
 def composite(percents: DataFrame) -> DataFrame:
     """Mean over scores of the mean over configs of the rounded percents, complete models only."""
-    by_score = percents.groupBy("model", "score").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    by_model = by_score.groupBy("model").agg(F.avg("mean").alias("composite"), F.sum("n").alias("n"))
-    return (by_model.join(_column_count(percents), F.col("n") == F.col("columns"), "left_semi")
-            .select("model", "composite"))
+    by_score = _with_column_count(percents).groupBy("model", "score").agg(
+        F.avg("value").alias("mean"), F.count("value").alias("n"), F.max("columns").alias("columns"))
+    by_model = by_score.groupBy("model").agg(F.avg("mean").alias("composite"), F.sum("n").alias("n"), F.max("columns").alias("columns"))
+    return by_model.where(F.col("n") == F.col("columns")).select("model", "composite")
 
 
 def ranking(composites: DataFrame) -> DataFrame:
@@ -143,8 +146,14 @@ def column_summary(table: DataFrame, column: str) -> DataFrame:
 
 
 def before_after(table: DataFrame, before: str, after: str) -> DataFrame:
-    """Two columns of a wide table for the models without any gap."""
-    return table.dropna("any").select("model", F.col(before).alias("before"), F.col(after).alias("after"))
+    """Two columns of a wide table for the models without a gap in any column that some model has."""
+    from pyspark.sql import Window
+
+    rows = Window.partitionBy(F.lit(0))  # one row a model
+    full = F.lit(True)
+    for name in table.columns:
+        full = full & (F.col(f"`{name}`").isNotNull() | (F.count(F.col(f"`{name}`")).over(rows) == 0))
+    return table.withColumn("_full", full).where("_full").select("model", F.col(before).alias("before"), F.col(after).alias("after"))
 
 
 # --- errors ------------------------------------------------------------------------
@@ -163,10 +172,23 @@ def error_kinds(c: DataFrame) -> DataFrame:
             .agg(F.sum("errors").alias("n")))
 
 
-def error_table(c: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """Error volume with one zero-filled column per kind, in one aggregation."""
+def found_kinds(c: DataFrame) -> list[str]:
+    """Error kinds of the cells by name; each becomes a column, so they are few."""
+    return [row.error_kind for row in c.where(F.col("error_kind").isNotNull()).select("error_kind").distinct().orderBy("error_kind").collect()]
+
+
+def error_table(c: DataFrame, kinds: Sequence[str] | None = None, other: str = "other") -> DataFrame:
+    """Error volume with one zero-filled column per kind, in one aggregation.
+
+    Without ``kinds`` every kind that occurs has a column. With it, kinds that are not named are summed in ``other``, so
+    that the columns always add up to ``errors``.
+    """
+    named, kinds = kinds is not None, found_kinds(c) if kinds is None else list(kinds)
     counts = [F.coalesce(F.sum(F.when(F.col("error_kind") == k, F.col("errors"))), F.lit(0)).alias(k)
               for k in kinds]
+    if named:
+        rest = F.coalesce(F.sum(F.when(~F.coalesce(F.col("error_kind"), F.lit("")).isin(kinds), F.col("errors"))), F.lit(0))
+        kinds, counts = [*kinds, other], [*counts, rest.alias(other)]
     totals = c.groupBy("model").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"), *counts)
     rate = round_scaled(ratio(F.col("errors"), F.col("requests")) * 100, 1)
     return totals.select("model", "requests", "errors",
@@ -261,7 +283,7 @@ def on_dataset(c: DataFrame, dataset: str) -> DataFrame:
     return c.where(F.col("dataset") == dataset)
 
 
-def report_tables(c: DataFrame, main: str, control: str, kinds: Sequence[str]) -> dict[str, DataFrame]:
+def report_tables(c: DataFrame, main: str, control: str, kinds: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """All tables of a report that cells over ``DIMENSIONS`` can give: accuracy and summary figures
     of the main dataset, scores and verdicts of the control dataset, errors and volume of both."""
     m, k = on_dataset(c, main), on_dataset(c, control)
@@ -284,7 +306,7 @@ def report_tables(c: DataFrame, main: str, control: str, kinds: Sequence[str]) -
     }
 
 
-def full_report(facts: DataFrame, main: str, control: str, kinds: Sequence[str]) -> dict[str, DataFrame]:
+def full_report(facts: DataFrame, main: str, control: str, kinds: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Every report table of scored facts.
 
     One pass writes the cells, which all accuracy, error and volume tables read. Only the tables

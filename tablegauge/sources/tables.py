@@ -74,6 +74,7 @@ class Registry:
     def __init__(self, spark: SparkSession, passengers: str | None = None) -> None:
         self._loaders: dict[str, Callable[[], DataFrame]] = {}
         self._bound: dict[str, Binding] = {}
+        self._kept: list[DataFrame] = []
         self.metric: dict[str, str] = {}
         self.add("crashes", lambda: crashes(spark), fv.METRIC_COLUMN["crashes"])
         if passengers:
@@ -88,8 +89,24 @@ class Registry:
         """Bound table; ``keep`` persists it for many scorings of one session."""
         if name not in self._bound:
             frame = self._loaders[name]()
-            self._bound[name] = bind(frame.persist() if keep else frame, name)
+            if keep:
+                self._kept.append(frame.persist())
+            self._bound[name] = bind(frame, name)
         return self._bound[name]
 
+    def close(self) -> None:
+        """Release persisted tables and the views of all bound ones."""
+        for frame in self._kept:
+            frame.unpersist()
+        for table in self._bound.values():
+            table.frame.sparkSession.catalog.dropTempView(table.view)
+        self._kept, self._bound = [], {}
+
+    def __enter__(self) -> Registry:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.close()
+
     def names(self) -> list[str]:
         return list(self._loaders)

@@ -70,7 +70,9 @@ def test_kept_attempts(spark):
         [("a", i, e) for i, e in enumerate([limit, limit, None, "APIError: x"])]
         + [("b", i, limit) for i in range(9)] + [("c", 0, "APIError: x"), ("c", 1, None)], "request string, attempt int, error string")
     kept = {r.request: (r.attempt, r.retries, r.error) for r in extract.kept_attempts(attempts, ["request"]).collect()}
-    assert kept == {"a": (2, 2, None), "b": (6, 6, limit), "c": (0, 0, "APIError: x")}
+    assert kept == {"a": (2, 2, None), "b": (8, 8, limit), "c": (0, 0, "APIError: x")}
+    cut = {r.request: r.attempt for r in extract.kept_attempts(attempts, ["request"], max_retries=6).collect()}
+    assert cut == {"a": 2, "b": 6, "c": 0}
 
 
 def test_last_update_ignores_missing_statements(spark):

@@ -18,8 +18,13 @@ from tablegauge.operators.dashboard import Dashboard
     "SELECT try_reflect/* */('java.lang.Math', 'abs', -1)", "SELECT java_method('java.lang.Math', 'abs', -1)",
     "SELECT * FROM crashes) q CROSS JOIN (SELECT 1", "SELECT * FROM crashes) q; DROP TABLE crashes --",
     "SELECT * FROM parquet.`/tmp`", "SELECT * FROM nope",
+    "SELECT IDENTIFIER('reflect')('java.lang.Math', 'abs', -1)", "SELECT * FROM other_view",
+    r"SELECT '\' -- ' AS a, reflect('java.lang.Math', 'abs', -1)", r"SELECT '\' , ') q, (SELECT '1' AS z",
+    "SELECT * FROM crashes WHERE age > (SELECT max(id) FROM other_view)",
+    "SELECT * FROM crashes WHERE EXISTS (SELECT reflect('java.lang.Math', 'abs', age))",
 ])
-def test_refused(crash_table, sql):
+def test_refused(spark, crash_table, sql):
+    spark.range(3).createOrReplaceTempView("other_view")
     assert st.try_statement(sql, crash_table) is None
 
 
