@@ -5,9 +5,9 @@ minimum of an exponential variate over the set. Registers merge by their maximum
 as often as their Jaccard similarity says, so bands of registers serve as keys for a search. Candidates are first
 judged by the likelihood of their similarity given all registers and both set sizes, then confirmed on the full sets.
 
-No group is expanded into pairs. Equal sets are one node from the start. In each round a node meets the hubs of its
-buckets, not all of its neighbours; what is already connected is not compared again. Only what is left, nodes that share a
-bucket and are still in different components, is compared each with each, so that no link is lost.
+No group is expanded into pairs. Equal sets are one node from the start. In each round a node meets one hub of its
+buckets, not all of its neighbours; what is already connected is not compared again. Nodes that share a bucket and are
+still in different components then go through an exact filter on their sets, so that no link among them is lost.
 """
 
 from __future__ import annotations
@@ -201,6 +201,38 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Set
     return full.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
 
 
+def overlapping(nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (x, y) of nodes (node, n, label) with different labels that can reach the threshold: none of those is left out.
+
+    Shingles are put in one order, rarest first. Two sets at the threshold share a shingle among the first of each, and
+    after their first common one both still have enough left. Sets that have only common passages in common, or many
+    small differences, are told apart by this within the join and never become rows.
+    """
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(value, np.int64) for value in batch.column(1).to_pylist()]
+            for at in range(0, len(items), 200):
+                some = items[at:at + 200]
+                owner = np.repeat(batch.column(0).to_numpy()[at:at + 200], list(map(len, some)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(owner)], names=["token", "node"])
+
+    tokens = sets.join(nodes.select("node").hint("merge"), "node").select("node", "items").mapInArrow(explode, "token long, node long")
+    tokens = staged(tokens, "tokens")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").hint("merge")
+    ordered = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("nodes", "token"))).alias("shared"))
+    ordered = ordered.join(nodes.hint("merge"), "node").select("node", "n", "label", F.size("shared").alias("width"), F.posexplode("shared"))
+    # Shingles of no other set come first and are not rows.
+    ordered = ordered.select(F.col("col.token").alias("token"), "node", "n", "label", (F.col("n") - F.col("width") + F.col("pos")).alias("place"))
+    first = staged(ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * settings.percent / 100)), "prefixes")
+    other = first.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "place")]).hint("merge")
+    left = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y"))
+    return first.join(other, "token").where(
+        (F.col("node") < F.col("node_y")) & (F.col("label") != F.col("label_y"))
+        & (100 * F.col("n") >= settings.percent * F.col("n_y")) & (100 * F.col("n_y") >= settings.percent * F.col("n"))
+        & ((100 + settings.percent) * left >= settings.percent * (F.col("n") + F.col("n_y")))) \
+        .select(F.col("node").alias("x"), F.col("node_y").alias("y"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of ``edges`` (a, b): label is the smallest node it is connected with.
 
@@ -253,14 +285,11 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         apart = staged(labelled.join(mixed.where("low < high").select("band", "hub").hint("merge"), "band"), "apart")
         if apart.isEmpty():
             break
-        if round_ < 4:  # each node meets one chosen node, of another component, in each of its buckets
-            pairs = apart.where(F.col("label") != F.col("hub.label")).select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
-        else:  # what is still apart: all that differ in component and could be near by size
-            other = apart.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly")).hint("merge")
-            pairs = apart.join(other, "band").where(
-                (F.col("node") < F.col("y")) & (F.col("label") != F.col("ly"))
-                & (100 * F.col("n") >= settings.percent * F.col("ny")) & (100 * F.col("ny") >= settings.percent * F.col("n"))) \
-                .select(F.col("node").alias("x"), "y")
+        if round_ < 4:  # each node meets one chosen node of another component
+            met_once = apart.where(F.col("label") != F.col("hub.label")).groupBy("node").agg(F.min("hub").alias("hub"))
+            pairs = met_once.select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
+        else:  # what is still apart
+            pairs = overlapping(apart.select("node", "n", "label").distinct(), sets, settings)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         fresh = staged(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty() and round_ < 4:
