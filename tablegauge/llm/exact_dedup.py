@@ -129,7 +129,7 @@ def exchange(prints: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     bit = F.expr("1 << (7 - place % 8)")
     told = narrow.join(bitmaps, (F.col("part") == F.col("bitmap_part")) & (F.col("owner") == F.col("bitmap_owner")), "left")
     suspects = told.where(F.col("local") | F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)))
-    return narrow, suspects.select("doc_id", "uid", "digest")
+    return narrow, suspects.select("doc_id", "uid", "digest", "text_sha256")
 
 
 def find_copies(docs: DataFrame, digest: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -158,9 +158,11 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
     clashes = staged(clashes, "clashes")
     classed = suspects.select("uid", "doc_id", F.col("digest").alias("class"))
     if not clashes.isEmpty():  # texts with the same digest: their class is the text itself
-        apart = (texts.join(clashes, "digest", "left_semi").select(F.col("doc_id").alias("_id"), "digest", "norm").distinct())
+        apart = (texts.join(clashes, "digest", "left_semi").select(
+            F.col("doc_id").alias("_id"), "digest", "norm", F.sha2("norm", 256).alias("sum")).distinct())
         hit = suspects.join(clashes, "digest", "left_semi")
-        by_text = hit.join(apart, F.col("doc_id").eqNullSafe(F.col("_id")) & (hit.digest == apart.digest))
+        by_text = hit.join(apart, F.col("doc_id").eqNullSafe(F.col("_id")) & (hit.digest == apart.digest)
+                           & (F.col("text_sha256") == F.col("sum")))
         classed = suspects.join(clashes, "digest", "left_anti").select("uid", "doc_id", F.col("digest").alias("class")) \
             .unionByName(by_text.select("uid", "doc_id", F.concat(hit.digest, F.lit(" "), "norm").alias("class")))
     firsts = (classed.groupBy("class").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("n"))
