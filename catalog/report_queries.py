@@ -256,3 +256,63 @@ def traps_only(spark, sf_dir):
 def one_dataset(spark, sf_dir):
     c = report.on_dataset(cells(spark, sf_dir, "dataset", "model", "config"), "manifest")
     return report.accuracy_table(c, "answer_correct")
+
+
+# --- scores with the row counts of the generated filters -------------------------------------------
+
+_ACCEPTED = "coalesce(c.n between 200 and 402 and c.n % 10 = s.k % 3 and c.n <= 400 + s.k % 3, false)"
+_FILTERED = f"""filtered as (
+  select s.*, case when s.family = 'filter' then case
+      when case when s.config in ('format', 'format_query') then coalesce(c.n = s.truth_row, false) else {_ACCEPTED} end
+      then 1.0 else 0.0 end end::double as filter_rows
+  from scored s left join counts c on s.dataset = c.dataset and rtrim(s.update_sql, ';') = c.statement)"""
+FILTERED = v.with_ctes(v.MANIFEST, v.RUNS, v.COUNTS, v.SCORED, _FILTERED)
+_PUBLISHED = "percents as (" + " union all ".join(
+    f"select model, config, '{s}' as score, {_PCT.format(s=s)} as value from filtered where {s} is not null "
+    f"and {_GAP} group by model, config" for s in report.COMPOSITE_SCORES) + ")"
+PUBLISHED_SQL = v.with_ctes(v.MANIFEST, v.RUNS, v.COUNTS, v.SCORED, _FILTERED, _PUBLISHED, _COMPLETE, _COMPOSITE)
+
+
+def filtered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored runs with every score; outside the format configs any multiple of ten near the German texts is accepted."""
+    from catalog.score_queries import statement_counts
+    from tablegauge.operators.scoring import score_runs
+    from tablegauge.operators.statements import with_statement_counts
+
+    near = F.transform(F.sequence(F.lit(20), F.lit(40)), lambda x: (x * 10 + F.col("k") % 3).cast("bigint"))
+    runs = v.scorable_runs(spark, sf_dir).withColumn("truth_rows", F.when(
+        (F.col("family") == "filter") & ~F.col("config").isin(fv.FORMAT_CONFIGS), near).otherwise(F.col("truth_rows")))
+    counted = with_statement_counts(runs, statement_counts(spark, sf_dir), "dataset", "update_sql", spread_by=["run_id"])
+    return score_runs(counted, "statement_rows", v.SUGGESTION_DATASETS)
+
+
+def filtered_cells(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    from tablegauge.operators.scoring import facts
+
+    return report.cells(facts(filtered_runs(spark, sf_dir).withColumn("provider", F.lit(None).cast("string"))), list(keys))
+
+
+@query("R4_fact_rows_with_filters", FILTERED + """
+    select model, config, dataset, family, trap, intent, input, epoch, errored as error, error_kind, api_calls, retries,
+      honesty, tool_choice, filter_rows, answer_correct, format_adherence, number_honesty from filtered""")
+def fact_rows_with_filters(spark, sf_dir):
+    from tablegauge.operators.scoring import facts
+
+    return facts(filtered_runs(spark, sf_dir).withColumn("provider", F.lit(None).cast("string"))).drop("reasoning", "started")
+
+
+@query("R12_composite_of_published_scores", PUBLISHED_SQL + "select model, composite from composites")
+def published_composite(spark, sf_dir):
+    return report.composite(report.score_percents(filtered_cells(spark, sf_dir, "model", "config").where(_GAP)))
+
+
+@query("R27_trap_filter_rows", FILTERED + _wide("filter_rows", fv.CONFIG_ORDER, "and trap").replace("from scored", "from filtered"))
+def trap_filter_rows(spark, sf_dir):
+    return report.accuracy_table(report.traps(filtered_cells(spark, sf_dir, "model", "config", "trap")), "filter_rows")
+
+
+@query("C16_accuracy_of_all_scores", FILTERED + "select " + ", ".join(f"avg({s}) as {s}" for s in fv.SCORES) + " from filtered")
+def accuracy_of_all_scores(spark, sf_dir):
+    from tablegauge.operators import scoring
+
+    return filtered_runs(spark, sf_dir).agg(*[scoring.accuracy(s).alias(s) for s in fv.SCORES])

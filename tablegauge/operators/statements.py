@@ -11,6 +11,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 from typing import NamedTuple
 
@@ -45,6 +46,8 @@ STATEMENT_FAULTS = (
     ArrayIndexOutOfBoundsException, DateTimeException, SparkRuntimeException, IllegalArgumentException,
 )
 
+JOBS_AT_ONCE = 4
+
 COUNT_SCHEMA = "dataset string, statement string, uses bigint, n bigint, fault string"
 
 # What an analysed plan may not hold, by class, and the leaves it may have besides those of the bound table.
@@ -59,18 +62,21 @@ class RefusedStatement(ValueError):
 
 
 class Binding(NamedTuple):
-    """A table under the name statements use for it, and the private view that holds it."""
+    """A table under the name statements use for it, the private view that holds it, and what a plan may then read."""
 
     name: str
     frame: DataFrame
     view: str
+    leaves: tuple
+    views: frozenset[str]
 
 
 def bind(frame: DataFrame, name: str) -> Binding:
     """Make a table known to statements without touching a view of that name in the session."""
     view = f"bound_{uuid.uuid4().hex}"
     frame.createOrReplaceTempView(view)
-    return Binding(name, frame, view)
+    leaves = tuple(leaf.canonicalized() for leaf in _leaves(frame))
+    return Binding(name, frame, view, leaves, frozenset({view} | _views(_told(frame))))
 
 
 def body_of(sql: str | None) -> str:
@@ -140,11 +146,10 @@ def _check_plan(answer: DataFrame, table: Binding) -> None:
     nodes = _told(answer)
     if any(name in _HOST_CALLS for name, _ in nodes):
         raise RefusedStatement("calls into the host are not allowed")
-    if not _views(nodes) <= {table.view} | _views(_told(table.frame)):
+    if not _views(nodes) <= table.views:
         raise RefusedStatement("only the bound table can be read")
-    own = [leaf.canonicalized() for leaf in _leaves(table.frame)]
     for leaf in _leaves(answer):
-        if leaf.getClass().getSimpleName() not in _OWN_ROWS and not any(leaf.canonicalized().equals(o) for o in own):
+        if leaf.getClass().getSimpleName() not in _OWN_ROWS and not any(leaf.canonicalized().equals(own) for own in table.leaves):
             raise RefusedStatement("only the bound table can be read")
 
 
@@ -293,8 +298,11 @@ def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch
             prepared = [_prepare(row, tables, strict) for row in batch]
             tasks = [p for p in prepared if isinstance(p, _Task)]
             counted: dict[int, int | str] = {}
-            for group in _job_groups(tasks):
-                counted.update(zip(group, _count_isolated([tasks[i] for i in group], tables), strict=True))
+            groups = _job_groups(tasks)
+            with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:  # the driver only waits for these
+                outcomes_of = list(pool.map(lambda group: _count_isolated([tasks[i] for i in group], tables), groups))
+            for group, found in zip(groups, outcomes_of):
+                counted.update(zip(group, found, strict=True))
         results = iter(counted[i] for i in range(len(tasks)))
         outcomes = []
         for row, state in zip(batch, prepared, strict=True):
