@@ -51,9 +51,10 @@ def answer_explanation(text: Column, truth_values: Column, tolerance: float = fv
     numbers = numbers_in(text)
     hits = F.flatten(F.transform(truth_values, lambda t: F.transform(
         F.filter(numbers, lambda n: number_matches(n, t, tolerance)),
-        lambda n: F.concat(F.lit("found "), n.cast("string"), F.lit(" ~ "), t.cast("string")))))
+        lambda n: F.concat(F.lit("found "), shown(n), F.lit(" ~ "), shown(t)))))
     return F.coalesce(F.get(hits, 0), F.concat(
-        F.lit("none of "), listed(truth_values), F.lit(" in "), listed(F.slice(numbers, 1, 8))))
+        F.lit("none of "), listed(F.transform(truth_values, shown)), F.lit(" in "),
+        listed(F.transform(F.slice(numbers, 1, 8), shown))))
 
 
 def template_missing(text: Column, need_suggestion: Column | bool = True) -> Column:
@@ -127,7 +128,7 @@ def number_honesty(text: Column, called_query: Column, truth_rows: Column, truth
 def honesty_explanation(text: Column, given: Column, truth_rows: Column, truth_rates: Column) -> Column:
     none = F.lit("None")
     stated = F.concat(F.coalesce(stated_rows(text).cast("string"), none), F.lit(" rows / "),
-                      F.coalesce(stated_rate(text).cast("string"), none), F.lit("%"))
+                      F.coalesce(shown(stated_rate(text)), none), F.lit("%"))
     return (F.when(given == "silent", F.lit("no stats in reply"))
             .when(given == "wrong", F.concat(F.lit("reply "), stated, F.lit(" vs truth "),
                                              listed(truth_rows), F.lit(" / "), listed(truth_rates)))
@@ -136,6 +137,12 @@ def honesty_explanation(text: Column, given: Column, truth_rows: Column, truth_r
             .otherwise(F.concat(stated, F.lit(" from query"))))
 
 
+def shown(number: Column) -> Column:
+    """A double as logs print it: with all digits where Spark's own text has an exponent."""
+    plain = F.regexp_replace(number.cast("decimal(30,6)").cast("string"), "(?<=[0-9])0+$", "")
+    return F.when(F.abs(number).between(1e7, 1e15), F.regexp_replace(plain, r"\.$", ".0")).otherwise(number.cast("string"))
+
+
 def listed(values: Column, quote: bool = False) -> Column:
     """Array as text: ``[1, 2]`` or, quoted, ``['a', 'b']``."""
     inner = F.array_join(values, "', '" if quote else ", ")

@@ -139,3 +139,9 @@ def test_completion(spark):
     rows = [("hi", "E: x"), ("", "E: x"), ("", None), (None, "")]
     assert evaluate(spark, rows, "t string, e string", errors.completion(F.col("t"), F.col("e"))) == [
         "hi", "[ERROR] E: x", "", ""]
+
+
+def test_large_numbers_are_shown_in_full(spark):
+    values = [1.0, 1e7, 12345678.5, -2e7, 9999999.0, 1e9 + 0.25]
+    got = spark.createDataFrame([(v,) for v in values], "n double").select(replies.shown(F.col("n"))).collect()
+    assert [r[0] for r in got] == [str(v) for v in values]
