@@ -61,6 +61,7 @@ class Element:
     children: list["Element | str"] = field(default_factory=list)
     digest: int = 0
     article: bool = False  # within the article of the page
+    prose: bool = False  # within a block of prose of the article
 
     def named(self) -> list[str]:
         return [(value or "").strip("\"'") for name, value in ATTRIBUTE.findall(self.attributes)
@@ -115,7 +116,8 @@ def parse(html: str) -> Element:
                     up = up.parent
                 if last is not None:
                     node = last.parent
-            child = Element(tag, attributes.rstrip("/"), node, article=node.article or tag in ("article", "main"))
+            child = Element(tag, attributes.rstrip("/"), node, article=node.article or tag in ("article", "main"),
+                            prose=node.prose or node.article and node.tag in PROSE)
             node.children.append(child)
             if tag in RAW:
                 close = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(html, at)
@@ -141,9 +143,12 @@ def hashed(root: Element) -> list[Element]:
 
 
 def removable(node: Element) -> bool:
-    """Whether recurrence may delete an element: not the page's frame, and no prose of an article."""
-    return node.tag not in ("html", "body", "article", "main", "#root") and not (
-        node.article and (node.tag in PROSE or any(isinstance(c, Element) and c.tag in PROSE for c in node.children)))
+    """Whether recurrence may delete an element: not the page's frame; in an article only blocks that are not prose, hold
+    none and are in none."""
+    if node.tag in ("html", "body", "article", "main", "#root"):
+        return False
+    return not node.article or node.tag in BLOCK - PROSE and not node.prose and not any(
+        isinstance(child, Element) and child.tag in PROSE for child in node.children)
 
 
 def main_text(root: Element, template: frozenset[int]) -> str:

@@ -36,8 +36,9 @@ def test_templates(spark):
     site = pages("a.example.org", 40, lambda i: f"<div><span>Shared bar {'x' * 9}</span></div><div><p>Text of {i}</p></div>"
                  f"<article><p>Story {i % 3}</p><section><div>Read this too</div></section></article>")
     bare = pages("b.example.org", 40, lambda i: f"<div>Strip</div><div>Own words of page {i}</div>")
+    copied = pages("d.example.org", 40, lambda i: "<article><h1>Head</h1><p><b>Told <i>again</i><br><p>Rest <a href=x>of</a> it</article>")
     small = pages("c.example.org", 2, lambda i: "<div>Said twice</div>")
-    rows = [(i, url, html) for i, (_, url, html) in enumerate(site + bare + small)] + [(900, None, None), (901, "nonsense", ""), (None, "", "<p>x")]
+    rows = [(i, url, html) for i, (_, url, html) in enumerate(site + bare + small + copied)] + [(900, None, None), (901, "nonsense", ""), (None, "", "<p>x")]
     rows += rows[:1]
     frame = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, HOST string").repartition(4)
     found = html_text.extract(frame).collect()
@@ -45,6 +46,7 @@ def test_templates(spark):
     got = {r.page_id: r.text for r in found}
     assert all(got[i] == f"Story {i % 3}" for i in range(40))  # recurs on the host, but is the article; the section goes
     assert all(got[40 + i] == f"Own words of page {i}" for i in range(40))
+    assert {got[82 + i] for i in range(40)} == {"Head\nTold again\nRest of it"}
     assert got[80] == got[81] == "Said twice" and got[900] == got[901] == "" and got[None] == "x"
 
 
