@@ -1,7 +1,8 @@
 """Main text of web pages with site templates removed.
 
-Every element subtree of a page has a hash. Spark counts, for each host, on how many of its pages a subtree occurs (each
-page sends a hash once), and subtrees that recur across many pages of their host are template: they are deleted. Elements
+Every element subtree of a page has a hash. Spark counts, for each host, beside how many different contents a subtree
+occurs: copies of a page have the same rest and count once, so what recurs only within copies stays. Subtrees that recur
+beside enough different contents of their host are template, however large the host is: they are deleted. Elements
 that are never article text by their meaning (navigation, footers, scripts, forms, comments and so on) go as well, also
 on hosts with a single page. Paragraphs, headings and other blocks of prose inside the article element of a page are what
 readers came for; they stay however often a host repeats them.
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from tablegauge.llm.shared import pick, staged
 
-# A subtree is template when it is on at least this many pages of its host and on this share of them.
+# A subtree is template when it is on at least this many pages of its host that differ in what else they show, and beside
+# this many different rests of the main text.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.02
+LEAST_TEXTS = 2
+REMEMBERED = 500_000  # subtrees whose rests a task remembers, so as not to send them again
 LEAST_LENGTH = 1  # characters of text, an image or link alone has none and leaves none
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,6 +65,11 @@ class Element:
     digest: int = 0
     article: bool = False  # within the article of the page
     prose: bool = False  # within a block of prose of the article
+    shown: bool = False  # neither it nor anything around it is beside the text by its meaning
+    read: bool = False  # a part of what the main text is taken from
+    said: bool = False  # has text of its own or below it
+    whole: int = 0  # sum of the hashes of shown texts in it
+    main: int = 0  # and of those of the main text
 
     def named(self) -> list[str]:
         return [(value or "").strip("\"'") for name, value in ATTRIBUTE.findall(self.attributes)
@@ -193,26 +201,97 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), HOST, 1))
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """host and hash, one row for each page and distinct subtree that recurrence may delete."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, hashes = [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {node.digest for node in hashed(parse(html or "")) if removable(node)}
-                hosts += [host] * len(found)
-                hashes += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+def weigh(root: Element, order: list[Element]) -> None:
+    """Mark what a page shows and what its main text is read from, and sum up the hashes of the texts in every element."""
+    articles, outside, inside, stack = [], [], [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            articles.append(node)
+        elif not node.beside():
+            outside.append(node)
+            stack += [child for child in node.children if isinstance(child, Element)]
+    for article in articles:
+        inside.append(article)
+        stack = [child for child in article.children if isinstance(child, Element)]
+        while stack:
+            node = stack.pop()
+            if not node.beside():
+                inside.append(node)
+                stack += [child for child in node.children if isinstance(child, Element)]
+    for node in outside:
+        node.shown, node.read = True, not articles
+    for node in inside:
+        node.shown = node.read = True
+    for node in [*reversed(order), root]:
+        for child in node.children:
+            if isinstance(child, str) and (text := SPACE.sub(" ", child).strip()):
+                node.said = True
+                if node.shown:
+                    weight = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+                    node.whole += weight
+                    node.main += weight if node.read else 0
+        if node.parent is not None:
+            node.parent.said |= node.said
+            node.parent.whole += node.whole
+            node.parent.main += node.main
+
+
+def signed(number: int) -> int:
+    return number % 2**64 - 2**63
+
+
+def key(host: str, digest: int) -> int:
+    """One number for a subtree of a host."""
+    return signed(xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass"), digest % 2**64))
+
+
+def rests(host: str, html: str) -> list[tuple[int, int, int, bool]]:
+    """For each distinct subtree of a page that recurrence may delete: its key, hashes of what else the page shows and of
+    what else its main text has, and whether the main text is read from it. Subtrees without text have nothing to delete."""
+    root = parse(html)
+    order = hashed(root)
+    weigh(root, order)
+    found: dict[int, tuple[int, int, bool]] = {}
+    for node in order:
+        if node.said and node.tag not in NEVER and removable(node):
+            whole, main, read = found.get(node.digest, (root.whole, root.main, False))
+            found[node.digest] = whole - node.whole, main - node.main, read or node.read
+    return [(key(host, digest), signed(whole), signed(main), read) for digest, (whole, main, read) in sorted(found.items())]
 
-    return pages.select("host", "html").mapInArrow(run, "host string, hash long")
 
+def subtrees(pages: DataFrame) -> DataFrame:
+    """Stored rows of key, whole and main as in ``rests``; with the page where its main text is read from the subtree.
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host and the hashes of its template: at most subtrees of one page / ``least_share`` for a host."""
-    counted = subtrees(pages).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).hint("merge")
-    recurring = counted.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= least_share * F.col("pages"))
-    return recurring.groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("template"))
+    The others only count: a task sends no more of them than can matter for a subtree.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, tuple[set[int], set[int]]] = {}
+        for batch in batches:
+            made: list[tuple[int, int, int, int | None]] = []
+            for page, host, html in zip(*(column.to_pylist() for column in batch.columns)):
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                for subtree, whole, main, read in rests(host, html or ""):
+                    if read:
+                        made.append((subtree, whole, main, page))
+                        continue
+                    wholes, mains = sent.setdefault(subtree, (set(), set()))
+                    if len(wholes) < LEAST_PAGES and whole not in wholes or len(mains) < LEAST_TEXTS and main not in mains:
+                        wholes.add(whole)
+                        mains.add(main)
+                        made.append((subtree, whole, main, None))
+            columns = zip(*made) if made else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "whole", "main", "page"])
+
+    return staged(pages.select("page", "host", "html").mapInArrow(run, "key long, whole long, main long, page long"), "subtrees")
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """Keys of the subtrees that are template, by counts that do not depend on how many pages a host has."""
+    each = found.groupBy("key", "whole").agg(F.min("main").alias("low"), F.max("main").alias("high"))
+    counted = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return counted.where((F.col("n") >= LEAST_PAGES) & (F.col("low") != F.col("high"))).select("key")
 
 
 def extract(pages: DataFrame, salts: int = 64) -> DataFrame:
@@ -221,22 +300,29 @@ def extract(pages: DataFrame, salts: int = 64) -> DataFrame:
     NULL and empty html give an empty text. Pages without a host share the empty one. Repeated rows are pages of their
     own and get the same text; no rows give no rows. Other columns are ignored, whatever their names.
     """
-    rows = pick(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    found = staged(templates(rows), "templates")
-    # A host may have a third of all pages: its pages meet one of many copies of its few hashes.
-    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    rows = pick(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url"))).withColumn(
+        "page", F.xxhash64("page_id", "url", "html"))
+    seen = subtrees(rows)
+    # A menu may be on a third of all pages: its rows meet one of many copies of its key.
+    spread = templates(seen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    read = seen.where("page is not null").select("page", "key").withColumn("salt", F.pmod("page", F.lit(salts)).cast("int"))
+    found = staged(read.join(spread, ["key", "salt"]).groupBy("page").agg(F.collect_set("key").alias("template")), "templates")
     page_kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for host, html, template in zip(*(column.to_pylist() for column in batch.columns[2:])):
                 root = parse(html or "")
-                hashed(root)
-                texts.append(main_text(root, frozenset(template or ())))
+                deleted = set(template or ())
+                texts.append(main_text(root, frozenset(node.digest for node in hashed(root) if key(host, node.digest) in deleted)
+                                       if deleted else frozenset()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
 
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(salts)).cast("int"))
-    joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    if found.isEmpty():
+        joined = rows.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        joined = rows.join(found.hint("merge"), "page", "left")
+    joined = joined.select("page_id", "url", "host", "html", "template")
     return joined.mapInArrow(run, f"page_id {page_kind}, url string, text string")

@@ -58,3 +58,20 @@ def test_hot_host_counts_are_whole(spark):
     rows = pages("hot.example.org", 3000, lambda i: f"<div>Bar</div><p>{i}</p>") + pages("cold.example.org", 30, lambda i: f"<div>Other</div><p>{i}</p>")
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
     assert {r.text.isdigit() for r in html_text.extract(frame).collect()} == {True}
+
+
+def extracted(spark, rows):
+    frame = spark.createDataFrame([(i, url, html) for i, (_, url, html) in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract(frame.repartition(4)).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><h1>Head</h1><p>Told again</p></body>", "Head\nTold again"),
+    ("<body><div><div>Bare</div><ul><li>a<li>b</ul></div></body>", "Bare\na\nb"),
+    ("<article><div><div><p>Deep body</p></div></div></article>", "Deep body"),
+    ("<article><h1>Head</h1><div>Bare text</div><table><tr><td>1<td>2</table></article>", "Head\nBare text\n1\n2"),
+])
+def test_copies_are_no_template(spark, html, want):
+    bars = pages("a.example.org", 30, lambda i: f"<div>Bar</div><p>Page {i}</p>")
+    copies = pages("a.example.org", 12, lambda i: f"<footer>{i}</footer><div>Bar</div>" * ("<article" not in html) + html)
+    assert extracted(spark, bars + copies) == [f"Page {i}" for i in range(30)] + [want] * 12
