@@ -75,3 +75,9 @@ def test_copies_are_no_template(spark, html, want):
     bars = pages("a.example.org", 30, lambda i: f"<div>Bar</div><p>Page {i}</p>")
     copies = pages("a.example.org", 12, lambda i: f"<footer>{i}</footer><div>Bar</div>" * ("<article" not in html) + html)
     assert extracted(spark, bars + copies) == [f"Page {i}" for i in range(30)] + [want] * 12
+
+
+def test_template_does_not_depend_on_the_size_of_the_host(spark):
+    few = pages("a.example.org", 6, lambda i: f"<div>Section menu</div><p>Story {i}</p>")
+    rest = pages("a.example.org", 900, lambda i: f"<p>Other {i}</p>")
+    assert extracted(spark, few + rest) == [f"Story {i}" for i in range(6)] + [f"Other {i}" for i in range(900)]
