@@ -1,10 +1,11 @@
 """Personal data: exact patterns, and identifiers found by their context.
 
-The exact patterns give the base spans. They also seed a bootstrap: the words beside seeds are lexical patterns, tokens
-that look like identifiers are instances, and each occurrence joins one of the first to one of the second. Confidence
-flows over that graph in a few rounds of aggregates: a pattern is as sure as the share of all its occurrences in the corpus
-that belong to believed instances, an instance as sure as the patterns around it. Instances beyond a high confidence are
-added to the spans.
+The exact patterns give the base spans. They also seed a bootstrap: one or two words to the left or right of a token are
+lexical patterns, tokens that look like identifiers are instances, and each occurrence joins some of the first to one of
+the second. Confidence flows over that graph in rounds of aggregates until nothing is added: a pattern is as sure as its
+occurrences with believed instances are many among those and the contradicting ones, an instance as sure as the patterns
+around it. A token that looks like the kind and is not believed yet neither supports nor contradicts. Believed instances
+support further patterns, and are added to the spans.
 
 All of it is column functions. Patterns are written so that Java's matcher neither recurses nor tries a run of characters
 twice: characters that only count between two others are replaced first by one control character of the same width.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.shared import pick, positional, staged, text_or_empty
+from tablegauge.llm.shared import SPACES, pick, positional, staged, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
@@ -33,11 +34,10 @@ IP_PARTS = f"^{_PART}(?:\\.{_PART}){{3}}$"
 LOOKS = {"email": "^[^@]+@[^@]+$", "ip": r"^(?=.*[0-9].*[0-9])[0-9A-Fa-f]+([.:][0-9A-Fa-f]*)+$",
          "card": r"^(?=(?:[^0-9]*[0-9]){12})[0-9 -]+$", "phone": r"^(?=(?:[^0-9]*[0-9]){6})[0-9+()./-]+$"}
 
-SUPPORT = 3  # different seeds that a pattern must have been seen with
+SUPPORT = 3  # different seeds or believed instances that a pattern must have been seen with
 PATTERN_CONFIDENCE = 0.8
 INSTANCE_CONFIDENCE = 0.8
 SMOOTHING = 0.5
-ROUNDS = 3
 
 
 def _joined(text: Column, between: str, characters: str) -> Column:
@@ -97,75 +97,125 @@ def written_spans(spans: Column) -> Column:
 
 
 def _context(part: Column) -> Column:
-    return F.lower(F.translate(part, "\t\n\u000b\u000c\r", "     "))
+    """Lower case, one space between words and none around them."""
+    return F.trim(F.regexp_replace(F.lower(part), SPACES, " "))
+
+
+def _around(parts: list[Column], count: int) -> Column:
+    """The first (or, with a negative count, last) words of parts of a text."""
+    return F.substring_index(F.array_join(F.filter(F.array(*parts), lambda part: part != ""), " "), " ", count)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Stored rows: uid, doc_id, base spans, and tokens that hold a digit or an at sign with the words beside them."""
+    """Stored rows: uid, doc_id, base spans, and tokens that hold a digit or an at sign with two words on both sides."""
     rows = pick(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    rows = rows.withColumn("found", located(F.when(F.col("text").rlike("[0-9@]"), F.col("text")), TOKEN))
-    before = F.transform("found", lambda m: F.substring_index(F.rtrim(_context(m.before)), " ", -1))
-    rows = rows.withColumn("left", before).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("words", F.zip_with("found", "left", lambda m, word: F.struct(
-        m.start.cast("int").alias("start"), m.end.cast("int").alias("end"), m.match.alias("token"), word.alias("word"))))
+    held = F.when(F.col("text").rlike("[0-9@]"), F.col("text"))
+    rows = rows.withColumn("found", located(held, TOKEN)).withColumn("base", base_spans(F.col("text")))
+    # Parts of the text between tokens: what stands first and last in them.
+    gaps = F.transform(F.transform(F.split(held, TOKEN, -1), _context), lambda gap: F.struct(
+        F.substring_index(gap, " ", 2).alias("head"), F.substring_index(gap, " ", -2).alias("tail")))
+    rows = rows.withColumn("gaps", F.when(F.col("found").isNotNull(), gaps))
+
+    def token(i: Column) -> Column:
+        return F.when(i >= 0, F.lower(F.get("found", i)["match"]))
 
-    def seeded(t: Column) -> Column:
+    def tail(i: Column) -> Column:
+        return F.when(i >= 0, F.get("gaps", i)["tail"])
+
+    def seeded(t: Column, i: Column) -> Column:
         """The token with the seed that begins in it; tokens within a seed are no instances."""
         touching = F.filter("base", lambda s: (s.start < t.end) & (s.end > t.start))
         first = F.get(F.filter(touching, lambda s: s.start >= t.start), 0)
-        return F.struct(t.start.alias("start"), t.token.alias("token"), t.word.alias("word"), first.kind.alias("kind"),
+        more = F.when(first.isNotNull(), F.size(F.filter("found", lambda o: (o.start >= t.end) & (o.start < first.end))))
+        last = i + F.coalesce(more, F.lit(0))
+        return F.struct(t.start.cast("int").alias("start"), t.match.alias("token"), first.kind.alias("kind"),
                         F.substring("text", first.start + 1, first.end - first.start).alias("seed"),
-                        (F.size(touching) > 0).alias("touched"))
+                        (F.size(touching) > 0).alias("touched"),
+                        _around([token(i - 2), tail(i - 1), token(i - 1), tail(i)], -2).alias("left"),
+                        _around([F.get("gaps", last + 1)["head"], token(last + 1), F.get("gaps", last + 2)["head"], token(last + 2)],
+                                2).alias("right"))
 
-    tokens = F.filter(F.transform(F.filter("words", lambda t: t.word != ""), seeded), lambda t: t.kind.isNotNull() | ~t.touched)
+    tokens = F.filter(F.transform("found", seeded), lambda t: (t.kind.isNotNull() | ~t.touched) & ((t.left != "") | (t.right != "")))
     rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "base", F.coalesce(tokens, F.array().cast(
-        "array<struct<start:int,token:string,word:string,kind:string,seed:string,touched:boolean>>")).alias("tokens"))
+        "array<struct<start:int,token:string,kind:string,seed:string,touched:boolean,left:string,right:string>>")).alias("tokens"))
     return staged(rows, "personal")
 
 
+def _patterns(left: Column, right: Column) -> Column:
+    """The patterns of an occurrence: side and words, one or two of them."""
+    def of(side: str, words: Column, nearest: int) -> list[Column]:
+        one = F.substring_index(words, " ", nearest)
+        return [F.when(one != "", F.struct(F.lit(side).alias("side"), one.alias("words"))),
+                F.when(one != words, F.struct(F.lit(side).alias("side"), words.alias("words")))]
+
+    return F.filter(F.array(*of("left", left, -1), *of("right", right, 1)), lambda pattern: pattern.isNotNull())
+
+
+def occurring(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """side, words, total: how often the words occur in the corpus with anything on the side where the token would be."""
+    texts = pick(docs, "text").select(F.split(_context(text_or_empty()), " ").alias("all"))
+    ends = F.size("all")
+    one = F.transform("all", lambda word, i: F.struct(word.alias("words"), (i + 1 < ends).alias("left"), (i > 0).alias("right")))
+    two = F.transform(F.slice("all", 1, F.greatest(ends - 1, F.lit(0))), lambda word, i: F.struct(
+        F.concat(word, F.lit(" "), F.get("all", i + 1)).alias("words"), (i + 2 < ends).alias("left"), (i > 0).alias("right")))
+    each = texts.select(F.explode(one).alias("w")).unionByName(texts.select(F.explode(two).alias("w"))).select("w.*")
+    # Patterns are few beside the pairs of words of a corpus: pairs that are none go before they are moved.
+    wanted = each.join(patterns.select("words").distinct(), "words", "left_semi")
+    counted = wanted.groupBy("words").agg(F.sum(F.col("left").cast("long")).alias("left"), F.sum(F.col("right").cast("long")).alias("right"))
+    return patterns.select("side", "words").distinct().join(counted.hint("merge"), "words").select(
+        "side", "words", F.when(F.col("side") == "left", F.col("left")).otherwise(F.col("right")).alias("total"))
+
+
 def discovered(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """uid, kind, start, end of identifiers that confident patterns point to and no base span touches."""
     each = rows.where(F.size("tokens") > 0).select("uid", F.explode("tokens").alias("t")).select("uid", "t.*")
     lead = F.length(F.regexp_extract("token", r"^[^A-Za-z0-9+]*+", 0))
     core = F.regexp_replace(F.regexp_replace("token", r"^[^A-Za-z0-9+]++", ""), r"[^A-Za-z0-9]++$", "")
     each = each.select("uid", (F.col("start") + lead).alias("start"), F.coalesce("seed", core).alias("instance"),
-                       F.col("word").alias("pattern"), "kind").where("instance <> ''")
-    each = staged(each, "occurrences")
+                       F.explode(_patterns(F.col("left"), F.col("right"))).alias("p"), "kind").where("instance <> ''")
+    each = staged(each.select("uid", "start", "instance", "p.side", "p.words", "kind"), "occurrences")
+    nothing = each.select("uid", "kind", "start", F.col("start").alias("end")).limit(0)
     if each.where("kind is null").isEmpty() or each.where("kind is not null").isEmpty():
-        return each.select("uid", "kind", "start", F.col("start").alias("end")).limit(0)
-    edges = each.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n"))
-    support = edges.where("kind is not null").groupBy("pattern", F.col("kind").alias("as_kind")) \
-        .agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    support = staged(support, "patterns")
-    if support.isEmpty():
-        return each.select("uid", "kind", "start", F.col("start").alias("end")).limit(0)
-    # How often each word of the corpus occurs with anything after it: what a pattern promises must hold for most of them.
-    words = pick(docs, "text").select(F.explode(F.split(_context(text_or_empty()), " +")).alias("pattern")).groupBy("pattern") \
-        .agg(F.count(F.lit(1)).alias("total"))
-    patterns = staged(words.join(support.hint("merge"), "pattern"), "totals")
-    edges = staged(edges.join(patterns.hint("merge"), "pattern").select(
-        "pattern", "instance", "kind", "n", "as_kind", "total"), "graph")
-    looks = F.lit(False)
-    for kind, pattern in LOOKS.items():
-        looks = looks | ((F.col("as_kind") == kind) & F.col("instance").rlike(pattern))
-    belief = edges.where("kind = as_kind").select("instance", "as_kind").distinct().withColumn("belief", F.lit(1.0))
-    found = None
-    for _ in range(ROUNDS):
-        scored = edges.join(belief.hint("merge"), ["instance", "as_kind"], "left")
-        sure = scored.groupBy("pattern", "as_kind").agg(
-            (F.sum(F.coalesce("belief", F.lit(0.0)) * F.col("n")) / (F.first("total") + SMOOTHING)).alias("sure")) \
-            .where(F.col("sure") >= PATTERN_CONFIDENCE)
-        told = edges.where(F.col("kind").isNull() & looks).join(sure.hint("merge"), ["pattern", "as_kind"])
-        found = told.groupBy("instance", "as_kind").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.least("sure", F.lit(0.999)))))).alias("belief")).where(F.col("belief") >= INSTANCE_CONFIDENCE)
-        seeds = edges.where("kind = as_kind").select("instance", "as_kind").distinct().withColumn("belief", F.lit(1.0))
-        belief = staged(seeds.unionByName(found).groupBy("instance", "as_kind").agg(F.max("belief").alias("belief")), "beliefs")
+        return nothing
+    kinds = F.array(*[F.when(F.col("kind").eqNullSafe(kind) | F.col("kind").isNull() & F.col("instance").rlike(look), F.lit(kind))
+                      for kind, look in LOOKS.items()])
+    edges = staged(each.groupBy("side", "words", "instance", "kind").agg(F.count(F.lit(1)).alias("n")).select(
+        "*", F.explode(F.filter(kinds, lambda kind: kind.isNotNull())).alias("as_kind")), "graph")
+    # Whatever is believed later, a pattern needs so many instances that may be of the kind, and a seed or believed one.
+    able = staged(edges.groupBy("side", "words", "as_kind").agg(F.count(F.lit(1)).alias("instances")).where(
+        F.col("instances") >= SUPPORT).drop("instances"), "patterns")
+    if able.isEmpty():
+        return nothing
+    totals = staged(able.join(occurring(docs, able).hint("merge"), ["side", "words"]), "totals")
+    pattern = ["side", "words", "as_kind"]
+    seeds = edges.where("kind is not null").select("instance", "as_kind").distinct()
+    edges = staged(edges.join(totals.hint("merge"), pattern), "edges")
+    believed, found, before = staged(seeds, "seeds"), None, 0
+    while True:
+        known = edges.join(believed.withColumn("known", F.lit(True)).hint("merge"), ["instance", "as_kind"], "left") \
+            .withColumn("known", F.coalesce("known", F.lit(False)))
+        # What is believed only grows, and with it the confidence of patterns: the loop ends when nothing is added.
+        scored = known.groupBy(pattern).agg(
+            F.count(F.when(F.col("known"), 1)).alias("support"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("matches"),
+            F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("open"), F.first("total").alias("total"))
+        sure = scored.withColumn("sure", F.col("matches") / (F.col("total") - F.col("open") + SMOOTHING)).where(
+            (F.col("support") >= SUPPORT) & (F.col("sure") >= PATTERN_CONFIDENCE))
+        sure = staged(sure.select(*pattern, "sure"), "sure")
+        told = edges.where("kind is null").join(sure.hint("merge"), pattern)
+        found = staged(told.groupBy("instance", "as_kind").agg(
+            (1 - F.exp(F.sum(F.log1p(-F.least("sure", F.lit(0.999)))))).alias("belief")).where(F.col("belief") >= INSTANCE_CONFIDENCE), "beliefs")
+        added = found.count()
+        if added == before:
+            break
+        before = added
+        believed = seeds.unionByName(found.select("instance", "as_kind")).distinct()
+    if not before:
+        return nothing
     # An instance belongs to the kind it is surest of; it counts wherever one of the sure patterns stands beside it.
     best = found.groupBy("instance").agg(F.max(F.struct("belief", "as_kind")).alias("best")).select(
         F.col("instance"), F.col("best.as_kind").alias("as_kind"))
-    fresh = each.where("kind is null").drop("kind").join(best.hint("merge"), "instance").join(
-        sure.select("pattern", "as_kind").hint("merge"), ["pattern", "as_kind"])
-    return fresh.select("uid", F.col("as_kind").alias("kind"), "start", (F.col("start") + F.length("instance")).alias("end"))
+    fresh = each.where("kind is null").drop("kind").join(best.hint("merge"), "instance").join(sure.select(*pattern).hint("merge"), pattern)
+    return fresh.select("uid", F.col("as_kind").alias("kind"), "start", (F.col("start") + F.length("instance")).alias("end")).distinct()
 
 
 def _in_order(spans: Column) -> Column:

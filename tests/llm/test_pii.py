@@ -75,3 +75,20 @@ def test_native(spark):
     plan = pii.find(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))
     shown = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
     assert not [name for name in ("Python", "Pandas", "Arrow") if name in shown]
+
+
+def spans(spark, texts):
+    found = pii.find(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    return [{texts[r.doc_id][s.start:s.end] for s in r.spans} for r in found]
+
+
+def test_unseen_identifiers_do_not_veto_their_cue(spark):
+    seeds = [f"a{i} tel: +49 30 12345{i:03d}" for i in range(7)]
+    unseen = [f"b{i} tel: 030/76543{i:02d}" for i in range(3)]
+    assert spans(spark, seeds + unseen)[7:] == [{f"030/76543{i:02d}"} for i in range(3)]
+    assert spans(spark, seeds[:3] + unseen[:1])[3] == {"030/7654300"}
+
+
+def test_contradicted_cues_find_nothing(spark):
+    texts = [f"x{i} near +49 30 12345{i:03d}" for i in range(6)] + ["near home"] * 3 + ["so near 030/7654321"]
+    assert spans(spark, texts)[-1] == set()
