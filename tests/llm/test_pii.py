@@ -92,3 +92,21 @@ def test_unseen_identifiers_do_not_veto_their_cue(spark):
 def test_contradicted_cues_find_nothing(spark):
     texts = [f"x{i} near +49 30 12345{i:03d}" for i in range(6)] + ["near home"] * 3 + ["so near 030/7654321"]
     assert spans(spark, texts)[-1] == set()
+
+
+def test_chains_of_patterns(spark):
+    """Each cue stands beside instances of the one before only: more steps than any fixed number of rounds had."""
+    texts = [f"a{i} cue0: +49 30 12345{i:03d} e{i}" for i in range(4)]
+    for step in range(5):
+        texts += [f"c{i} cue{step + at}: 030/7{step}543{i:02d} d{i}" for i in range(3) for at in (0, 1)]
+    got = spans(spark, texts)
+    assert all(len(found) == 1 for found in got) and got[-1] == {"030/7454302"}
+
+
+def test_words_on_the_right_two_words_and_neighbour_tokens(spark):
+    right = [f"a{i} +49 30 12345{i:03d}, mobile" for i in range(4)] + ["b 030/7654321, mobile"]
+    assert spans(spark, right)[-1] == {"030/7654321"}
+    two = [f"a{i} reach under +49 30 12345{i:03d}" for i in range(4)] + ["lay under trees"] * 4 + ["b reach under 030/7654321", "c lay under 030/7654322"]
+    assert spans(spark, two)[-2:] == [{"030/7654321"}, set()]
+    beside = [f"a{i} tel2 +49 30 12345{i:03d}" for i in range(4)] + ["b tel2 030/7654321"]
+    assert spans(spark, beside)[-1] == {"030/7654321"}
