@@ -107,7 +107,7 @@ def _around(parts: list[Column], count: int) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Stored rows: uid, doc_id, base spans, and tokens that hold a digit or an at sign with two words on both sides."""
+    """Stored rows: uid, doc_id, digest of the text, base spans, and tokens that hold a digit or an at sign with two words on both sides."""
     rows = pick(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     held = F.when(F.col("text").rlike("[0-9@]"), F.col("text"))
     rows = rows.withColumn("found", located(held, TOKEN)).withColumn("base", base_spans(F.col("text")))
@@ -136,7 +136,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                                 2).alias("right"))
 
     tokens = F.filter(F.transform("found", seeded), lambda t: (t.kind.isNotNull() | ~t.touched) & ((t.left != "") | (t.right != "")))
-    rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "base", F.coalesce(tokens, F.array().cast(
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("digest"), "base", F.coalesce(tokens, F.array().cast(
         "array<struct<start:int,token:string,kind:string,seed:string,touched:boolean,left:string,right:string>>")).alias("tokens"))
     return staged(rows, "personal")
 
@@ -264,9 +264,12 @@ def redact(docs: DataFrame) -> DataFrame:
     if not added.isEmpty():
         key = docs.columns.index("doc_id")
         kind = table.schema[key].dataType.simpleString()
-        by_id = added.join(rows.select("uid", F.col("doc_id").cast(kind).alias("_id")).hint("merge"), "uid").groupBy("_id").agg(
+        # Rows of one doc_id may have different texts: spans go to the text that they were found in.
+        places = rows.select("uid", F.col("doc_id").cast(kind).alias("_id"), F.col("digest").alias("_digest"))
+        by_id = added.join(places.hint("merge"), "uid").groupBy("_id", "_digest").agg(
             F.collect_set(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("_more"))
-        table = table.join(by_id.hint("merge"), F.col(f"_{key}").eqNullSafe(F.col("_id")), "left")
+        table = table.join(by_id.hint("merge"), F.col(f"_{key}").eqNullSafe(F.col("_id")) & (
+            F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_digest")), "left")
         spans = F.concat(spans, F.coalesce("_more", F.array().cast(SPAN)))
     made = table.withColumn("_spans", spans).withColumn("_text", redacted(text, F.col("_spans")))
     columns = [F.col("_text") if i == place else

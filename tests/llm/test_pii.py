@@ -110,3 +110,9 @@ def test_words_on_the_right_two_words_and_neighbour_tokens(spark):
     assert spans(spark, two)[-2:] == [{"030/7654321"}, set()]
     beside = [f"a{i} tel2 +49 30 12345{i:03d}" for i in range(4)] + ["b tel2 030/7654321"]
     assert spans(spark, beside)[-1] == {"030/7654321"}
+
+
+def test_redaction_tells_texts_of_one_id_apart(spark):
+    rows = [*SEEDED, (100, "clean words of another text"), (100, "tel: 030/1234567, today")]
+    left = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 100")
+    assert sorted(r.text for r in left.collect()) == ["clean words of another text"] + ["tel: [PHONE], today"] * 2
