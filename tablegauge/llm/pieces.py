@@ -178,3 +178,7 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text")
 
 def written_ids(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
+
+
+def written_spans(begins: Column, ends: Column) -> Column:
+    return F.array_join(F.zip_with(begins, ends, lambda begin, end: F.concat_ws(":", begin.cast("string"), end.cast("string"))), ",")

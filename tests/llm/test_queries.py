@@ -89,6 +89,29 @@ def test_pieces(spark, documents):
         assert tuple(got[i])[:4] == (i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
 
 
+def test_spans_of_pieces(spark, documents):
+    """Every piece against the bytes of the text, byte by byte from the pieces alone."""
+    from tablegauge.llm.pieces import PieceModel
+    from tablegauge.llm.shared import piece_model
+
+    library, (_, got) = PieceModel.of(piece_model()).processor, rows(spark, "op7_aligned_pieces")
+    for i, text in documents.items():
+        raw, at, first, spans = (text or "").encode(), 0, True, []
+        for number in library.encode(text or ""):
+            begin = at
+            if library.is_byte(number):
+                piece = bytes([int(library.id_to_piece(number)[3:-1], 16)])
+            else:
+                piece = library.id_to_piece(number).replace("▁", " ").encode()
+            if first and piece.startswith(b" "):
+                piece = piece[1:]  # the space that the model puts before a text
+            first = False
+            at += len(piece)
+            assert raw[begin:at] == piece
+            spans.append(f"{begin}:{at}")
+        assert got[i].spans_sha256 == sha(",".join(spans)) and got[i].n_bytes == at == len(raw)
+
+
 def test_conversations(spark, duck):
     probe = "\\### Assistant: </turn> ok"
     turns = {-7: [("user", probe), ("assistant", probe)]}
