@@ -1,7 +1,8 @@
 """Running SQL text written by others: read-only gate, row counts, stricter comparisons.
 
 A statement must be analysed on the driver, once per distinct text; everything that
-touches rows runs as Spark jobs. Simple filters on one table share a single scan.
+touches rows runs as Spark jobs. Filters that compare columns with constants share a single scan,
+however many they are.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
+from functools import cached_property, partial
 from itertools import islice
 from typing import NamedTuple
 
@@ -25,10 +28,12 @@ from pyspark.errors import (
     ParseException,
     SparkRuntimeException,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.operators import predicates
 from tablegauge.operators.lookup import hot_hashes, salted_lookup
+from tablegauge.operators.predicates import Condition
 from tablegauge.workdir import new_path, session_settings
 
 # Identifiers in double quotes as in standard SQL; no file paths as tables; no ${...} expansion.
@@ -47,11 +52,17 @@ STATEMENT_FAULTS = (
 )
 
 JOBS_AT_ONCE = 4
+PLANS_AT_ONCE = 32
 
-COUNT_SCHEMA = "dataset string, statement string, uses bigint, n bigint, fault string"
+COUNT_SCHEMA = ("dataset string, statement string, uses bigint, n bigint, rows_a decimal(38,0), rows_b decimal(38,0), "
+                "fault string")
 
-# What an analysed plan may not hold, by class, and the leaves it may have besides those of the bound table.
-_HOST_CALLS = {"CallMethodViaReflection", "TryReflect"}
+# What an analysed plan may not hold, by class: calls into the host, functions of the session, what tells of the host.
+_REFUSED_CALLS = {
+    "CallMethodViaReflection", "TryReflect", "PythonUDF", "PythonUDTF", "PythonUDAF", "ScalaUDF", "ScalaUDAF", "ScalaAggregator",
+    "HiveSimpleUDF", "HiveGenericUDF", "HiveGenericUDTF", "HiveUDAFFunction", "InputFileName", "InputFileBlockStart",
+    "InputFileBlockLength", "CurrentUser", "CurrentDatabase", "CurrentCatalog", "SparkVersion",
+}
 _OWN_ROWS = {"OneRowRelation", "LocalRelation", "Range", "ResolvedInlineTable", "CTERelationRef"}
 _SIMPLE_FILTER = re.compile(
     r"\s*select\s+\*\s+from\s+[\"`]?(?P<table>\w+)[\"`]?\s+where\s+(?P<condition>.+)", re.IGNORECASE | re.DOTALL)
@@ -61,22 +72,49 @@ class RefusedStatement(ValueError):
     """The text is not one read-only query."""
 
 
-class Binding(NamedTuple):
-    """A table under the name statements use for it, the private view that holds it, and what a plan may then read."""
+class Binding:
+    """A table under the name statements use for it.
+
+    Statements live in sessions of their own, which know this one name and none of the caller's views and functions. One has
+    an empty table with the same columns behind the name: there a statement is judged, on a plan as small as its text. The
+    other has the table itself, and is made when the first statement runs.
+    """
+
+    def __init__(self, frame: DataFrame, name: str) -> None:
+        self.name, self.frame = name, frame
+        self.empty = empty_like(frame)
+        self.empty.createOrReplaceTempView(name)
+        self.gate = self.empty.sparkSession
+
+    @cached_property
+    def run(self) -> SparkSession:
+        session, passed = _separate(self.frame.sparkSession), f"passed_{uuid.uuid4().hex}"
+        self.frame.createGlobalTempView(passed)
+        try:
+            session.table(f"global_temp.{passed}").createOrReplaceTempView(self.name)
+        finally:
+            self.frame.sparkSession.catalog.dropGlobalTempView(passed)
+        return session
+
+
+def _separate(spark: SparkSession) -> SparkSession:
+    """A session with the settings of another and those of the gate, without its views and functions."""
+    session = spark.newSession()
+    for key, value in ({**spark.conf.getAll, **GATE_SETTINGS}).items():
+        if session.conf.get(key, None) != value:
+            session.conf.set(key, value)
+    return session
 
-    name: str
-    frame: DataFrame
-    view: str
-    leaves: tuple
-    views: frozenset[str]
+
+def empty_like(frame: DataFrame) -> DataFrame:
+    """A table without rows, with the same columns, in a session with the settings of the gate."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in frame.schema.fields]
+    return _separate(frame.sparkSession).range(0).select(*columns)
 
 
 def bind(frame: DataFrame, name: str) -> Binding:
     """Make a table known to statements without touching a view of that name in the session."""
-    view = f"bound_{uuid.uuid4().hex}"
-    frame.createOrReplaceTempView(view)
-    leaves = tuple(leaf.canonicalized() for leaf in _leaves(frame))
-    return Binding(name, frame, view, leaves, frozenset({view} | _views(_told(frame))))
+    return Binding(frame, name)
 
 
 def body_of(sql: str | None) -> str:
@@ -84,72 +122,57 @@ def body_of(sql: str | None) -> str:
     return (sql or "").strip().rstrip("; \t\r\n")
 
 
-def gated(sql: str | None, table: Binding) -> str:
-    """Wrap a statement that stands alone as one query: Spark's own parser takes no command and no second statement.
+def judged(sql: str | None, table: Binding) -> DataFrame:
+    """A statement as analysed over the empty table; faults in it raise, and so does what no statement may do.
 
-    The bound name is a common table expression, so it wins over any view of the session.
+    Spark's own parser takes no command and no second statement.
     """
     body = body_of(sql)
     if not body:
         raise RefusedStatement("empty statement")
-    table.frame.sparkSession._jsparkSession.sessionState().sqlParser().parseQuery(body)
-    return f"WITH `{table.name}` AS (SELECT * FROM {table.view}) SELECT * FROM (\n{body}\n) answer"
+    table.gate._jsparkSession.sessionState().sqlParser().parseQuery(body)
+    answer = table.gate.sql(body)
+    _check_plan(answer, table.name)
+    return answer
 
 
 def run_statement(sql: str | None, table: Binding) -> DataFrame:
     """Analyse a gated statement; faults in it raise, rows stay lazy."""
-    spark = table.frame.sparkSession
-    with session_settings(spark, GATE_SETTINGS):
-        answer = spark.sql(gated(sql, table))
-    _check_plan(answer, table)
-    return answer
-
-
-def _plans(plan) -> Iterator:
-    """An analysed plan and the plans of the subqueries in its expressions."""
-    yield plan
-    inner = plan.subqueriesAll().iterator()
-    while inner.hasNext():
-        yield inner.next()
+    judged(sql, table)
+    return table.run.sql(body_of(sql))
 
 
-def _leaves(frame: DataFrame) -> list:
-    found = []
-    for plan in _plans(frame._jdf.queryExecution().analyzed()):
-        leaves = plan.collectLeaves().iterator()
-        while leaves.hasNext():
-            found.append(leaves.next())
-    return found
-
-
-def _nodes(value) -> Iterator[tuple[str, dict]]:
-    """Class and fields of all operators and expressions in the JSON form of a plan."""
+def _nodes(value) -> Iterator[dict]:
+    """All operators and expressions in the JSON form of a plan."""
     if isinstance(value, dict):
         if isinstance(value.get("class"), str):
-            yield value["class"].rsplit(".", 1)[-1], value
+            yield value
         value = list(value.values())
     if isinstance(value, list):
         for part in value:
             yield from _nodes(part)
 
 
-def _told(frame: DataFrame) -> list[tuple[str, dict]]:
-    return [node for plan in _plans(frame._jdf.queryExecution().analyzed()) for node in _nodes(json.loads(plan.toJSON()))]
+def _kind(node: dict) -> str:
+    return node["class"].rsplit(".", 1)[-1]
 
 
-def _views(nodes: list[tuple[str, dict]]) -> set[str]:
-    return {node["desc"]["identifier"]["table"] for name, node in nodes if name == "View"}
+def _check_plan(answer: DataFrame, name: str) -> None:
+    """Refuse calls into the host and rows of other tables, by the analysed plan and whatever its text looks like.
 
-
-def _check_plan(answer: DataFrame, table: Binding) -> None:
-    """Refuse calls into the host and rows of other tables, by the analysed plan and whatever its text looks like."""
-    nodes = _told(answer)
-    if any(name in _HOST_CALLS for name, _ in nodes):
-        raise RefusedStatement("calls into the host are not allowed")
-    if not _views(nodes) <= table.views:
-        raise RefusedStatement("only the bound table can be read")
-    for leaf in _leaves(answer):
-        if leaf.getClass().getSimpleName() not in _OWN_ROWS and not any(leaf.canonicalized().equals(own) for own in table.leaves):
+    The bound name is a range without rows, so any other relation is a foreign one.
+    """
+    plan = answer._jdf.queryExecution().analyzed()
+    inner, plans = plan.subqueriesAll().iterator(), [plan]
+    while inner.hasNext():
+        plans.append(inner.next())
+    for operators in (json.loads(plan.toJSON()) for plan in plans):
+        for node in _nodes(operators):
+            if _kind(node) in _REFUSED_CALLS:
+                raise RefusedStatement("calls into the host and functions of the session are not allowed")
+            if _kind(node) == "View" and node["desc"]["identifier"] | {"product-class": ""} != {"product-class": "", "table": name}:
+                raise RefusedStatement("only the bound table can be read")
+        if any(node["num-children"] == 0 and _kind(node) not in _OWN_ROWS for node in operators):
             raise RefusedStatement("only the bound table can be read")
 
 
@@ -161,43 +184,64 @@ def try_statement(sql: str | None, table: Binding) -> DataFrame | None:
         return None
 
 
-class _Task(NamedTuple):
-    dataset: str
-    statement: str
-    uses: int
-    condition: str | None  # set when the statement is a plain filter of the bound table
-    rows: DataFrame | None
+def fingerprint(frame: DataFrame) -> dict[str, Column]:
+    """Measures whose sums, beside the number of rows, tell whether two tables hold the same rows in whatever order.
+
+    Two hashes of a row, as numbers that sums of any length hold. Equal tables have equal sums; different ones have with a
+    chance of one in 2**128. Missing values count by their place.
+    """
+    columns = [F.col(f"`{name}`") if frame.columns.count(name) == 1 else frame[i] for i, name in enumerate(frame.columns)]
+    missing = F.array(*[column.isNull() for column in columns])
+    return {"rows_a": F.xxhash64(*columns, missing).cast("decimal(20,0)"),
+            "rows_b": F.xxhash64(missing, *columns).cast("decimal(20,0)")}
+
+
+MEASURES = ("rows_a", "rows_b")
+
+
+class _Filter(NamedTuple):
+    """A statement that is nothing but a condition on the bound table."""
 
+    text: str
+    condition: Condition | None  # set when it only compares columns with constants
 
-def _prepare(row, tables: dict[str, Binding], strict: bool) -> _Task | str:
-    """Analyse one statement; the text of the fault when it cannot run."""
-    table = tables.get(row.dataset)
-    if table is None:
-        return "unknown dataset"
+
+def _filters(texts: list[str], table: Binding) -> list[_Filter | None]:
+    """Conditions of plain filters, None for statements that must be analysed on their own.
+
+    All are analysed at once; one that can't be is found by halves.
+    """
+    if not texts:
+        return []
+    try:
+        found = predicates.analysed(table.empty, texts)
+    except (ValueError, *STATEMENT_FAULTS):
+        if len(texts) == 1:
+            return [None]
+        half = len(texts) // 2
+        return _filters(texts[:half], table) + _filters(texts[half:], table)
+    filters = [None if any(node.kind in _REFUSED_CALLS for node in tree.walk())
+               else _Filter(text, predicates.indexed(text, tree)) for text, tree in zip(texts, found)]
+    fit = _fit_for_aggregates([f.text for f in filters if f and not f.condition], table)
+    return [f if f is None or f.condition or f.text in fit else None for f in filters]
+
+
+def _fit_for_aggregates(texts: list[str], table: Binding) -> set[str]:
+    """Conditions that may filter an aggregate; those on random values, for example, may not."""
     try:
-        rows = run_statement(row.statement, table)
-        if strict:
-            # Counting prunes the projection; a full read finds faults that sit only there.
-            rows.write.format("noop").mode("overwrite").save()
-    except (RefusedStatement, *STATEMENT_FAULTS) as fault:
-        return type(fault).__name__
-    return _Task(row.dataset, row.statement, row.uses, _plain_condition(row.statement, table), rows)
+        table.empty.agg(*[F.count_if(F.lit(True)), *[F.expr(f"count(*) FILTER (WHERE (\n{text}\n))") for text in texts]])
+    except STATEMENT_FAULTS:
+        half = len(texts) // 2
+        return _fit_for_aggregates(texts[:half], table) | _fit_for_aggregates(texts[half:], table) if half else set()
+    return set(texts)
 
 
 def _plain_condition(sql: str, table: Binding) -> str | None:
-    """Condition of ``SELECT * FROM <table> WHERE <condition>`` when it stands alone as an expression."""
+    """Text behind WHERE of ``SELECT * FROM <table> WHERE <condition>``."""
     match = _SIMPLE_FILTER.fullmatch(body_of(sql))
     if not match or match["table"].lower() != table.name.lower():
         return None
-    condition = match["condition"]
-    if re.search(r"\b(?:select|over)\b", condition, re.IGNORECASE):
-        return None
-    try:
-        with session_settings(table.frame.sparkSession, GATE_SETTINGS):
-            table.frame.agg(F.count_if(F.expr(f"(\n{condition}\n)")))
-    except STATEMENT_FAULTS:
-        return None
-    return condition
+    return None if re.search(r"\b(?:select|over)\b", match["condition"], re.IGNORECASE) else match["condition"]
 
 
 def scan_groups(texts: Sequence[str], size: int, characters: int) -> list[range]:
@@ -211,57 +255,140 @@ def scan_groups(texts: Sequence[str], size: int, characters: int) -> list[range]
     return [range(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
 
 
-def _job_groups(tasks: list[_Task]) -> list[list[int]]:
-    """Positions of the tasks of a batch by job: shared scans per table, and one for all other plans.
+class _Class(NamedTuple):
+    """Statements with one analysed plan: a representative, and all their positions."""
+
+    sql: str
+    plan: DataFrame
+    members: list[int]
 
-    A fault then repeats its own scan only.
+
+def _classes(statements: list[tuple[int, str]], table: Binding, outcomes: dict[int, Outcome]) -> list[_Class]:
+    """Statements that mean the same, once; faults go to the outcomes.
+
+    Spark's canonical plans settle spelling, spacing, and the order of operands; the hash finds plans that may be the same.
     """
-    plain: dict[str, list[int]] = {}
-    for i, task in enumerate(tasks):
-        if task.condition is not None:
-            plain.setdefault(task.dataset, []).append(i)
-    groups = []
-    for members in plain.values():
-        shared = scan_groups([tasks[i].condition for i in members], 64, 2400)
-        groups += [[members[g] for g in group] for group in shared]
-    others = [i for i, task in enumerate(tasks) if task.condition is None]
-    return groups + ([others] if others else [])
-
-
-def _count(tasks: list[_Task], tables: dict[str, Binding]) -> list[int]:
-    """Row counts of one job group."""
-    if tasks[0].condition is not None:
-        row = tables[tasks[0].dataset].frame.agg(
-            *[F.expr(f"count(*) FILTER (WHERE (\n{task.condition}\n))") for task in tasks]).first()
-        return list(row)
-    union = None
-    for i, task in enumerate(tasks):
-        part = task.rows.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"))
-        union = part if union is None else union.unionByName(part)
-    counts = {row.i: row.n for row in union.collect()}
-    return [counts[i] for i in range(len(tasks))]
+    by_hash: dict[int, list[_Class]] = {}
+    for position, sql in statements:
+        try:
+            plan = judged(sql, table)
+        except (RefusedStatement, *STATEMENT_FAULTS) as fault:
+            outcomes[position] = Outcome(fault=type(fault).__name__)
+            continue
+        alike = by_hash.setdefault(plan.semanticHash(), [])
+        same = next((c for c in alike if c.plan.sameSemantics(plan)), None)
+        if same:
+            same.members.append(position)
+        else:
+            alike.append(_Class(sql, plan, [position]))
+    return [c for alike in by_hash.values() for c in alike]
+
+
+class Outcome(NamedTuple):
+    """Row count of a statement with the sums of its fingerprint, or its fault."""
+
+    n: int | None = None
+    sums: tuple = (None, None)
+    fault: str | None = None
+
+
+def _count_indexed(filters: list[_Filter], table: Binding, measured: bool) -> list[Outcome]:
+    """All comparisons with constants in one scan; what they select not at all has no row there."""
+    none = (Decimal(0), Decimal(0)) if measured else (None, None)
+    found = [Outcome(0, none)] * len(filters)
+    frame = table.frame
+    for part in predicates.matches(frame, [f.condition for f in filters], fingerprint(frame) if measured else {}):
+        for row in part.collect():  # one row a condition
+            found[row.position] = Outcome(row.n, (row.rows_a, row.rows_b) if measured else (None, None))
+    return found
 
 
-def _suspects(tasks: list[_Task], fault) -> tuple[list[int], list[int]]:
-    """Positions of the statements a fault points at and of the others; halves if it points nowhere."""
-    fragments = {context.fragment() for context in fault.getQueryContext() or [] if context.fragment()}
-    accused = [i for i, task in enumerate(tasks) if any(f in task.statement for f in fragments)]
-    if not accused or len(accused) == len(tasks):
-        accused = list(range(len(tasks) // 2))
-    return accused, [i for i in range(len(tasks)) if i not in accused]
+def _count_filters(filters: list[_Filter], table: Binding, measured: bool) -> list[Outcome]:
+    """Other conditions as filtered aggregates of a shared scan."""
+    frame = table.frame
+    sums = fingerprint(frame) if measured else {}
+    source = frame.select("*", *[column.alias(f"_{name}") for name, column in sums.items()])
+    row = source.agg(*[column for f in filters for column in (
+        F.expr(f"count(*) FILTER (WHERE (\n{f.text}\n))"),
+        *[F.coalesce(F.expr(f"sum(_{name}) FILTER (WHERE (\n{f.text}\n))"), F.lit(0)) for name in sums])]).first()
+    width = 1 + len(sums)
+    return [Outcome(row[i], tuple(row[i + 1:i + width]) if measured else (None, None)) for i in range(0, len(row), width)]
+
+
+def _count_plans(classes: list[_Class], table: Binding, measured: bool) -> list[Outcome]:
+    """One aggregate over each plan, all in one job."""
+    union = None
+    for i, one in enumerate(classes):
+        rows = table.run.sql(body_of(one.sql))
+        named = rows.toDF(*[f"_{k}" for k in range(len(rows.columns))])
+        sums = [F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in fingerprint(named).items()] if measured else []
+        part = named.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"), *sums)
+        union = part if union is None else union.unionByName(part)
+    counted = {row.i: Outcome(row.n, (row.rows_a, row.rows_b) if measured else (None, None)) for row in union.collect()}
+    return [counted[i] for i in range(len(classes))]
 
 
-def _count_isolated(tasks: list[_Task], tables: dict[str, Binding]) -> list[int | str]:
-    """Counts of a job group; when it fails, divide it until the faulty statements stand alone."""
+def _isolated(count: Callable[[list], list[Outcome]], items: list, text: Callable[[object], str]) -> list[Outcome]:
+    """Outcomes of a job; when it fails, divide it until the faulty statements stand alone."""
     try:
-        return list(_count(tasks, tables))
+        return count(items)
     except STATEMENT_FAULTS as fault:
-        if len(tasks) == 1:
-            return [type(fault).__name__]
-        results: dict[int, int | str] = {}
-        for part in _suspects(tasks, fault):
-            results.update(zip(part, _count_isolated([tasks[i] for i in part], tables), strict=True))
-        return [results[i] for i in range(len(tasks))]
+        if len(items) == 1:
+            return [Outcome(fault=type(fault).__name__)]
+        results: dict[int, Outcome] = {}
+        for part in _suspects([text(item) for item in items], fault):
+            results.update(zip(part, _isolated(count, [items[i] for i in part], text), strict=True))
+        return [results[i] for i in range(len(items))]
+
+
+def _suspects(texts: list[str], fault) -> tuple[list[int], list[int]]:
+    """Positions of the statements a fault points at and of the others; halves if it points nowhere."""
+    fragments = {context.fragment() for context in fault.getQueryContext() or [] if context.fragment()}
+    accused = [i for i, text in enumerate(texts) if any(f in text for f in fragments)]
+    if not accused or len(accused) == len(texts):
+        accused = list(range(len(texts) // 2))
+    return accused, [i for i in range(len(texts)) if i not in accused]
+
+
+def _read_in_full(classes: list[_Class], table: Binding, outcomes: dict[int, Outcome]) -> list[_Class]:
+    """Classes whose rows can all be made; counting prunes the projection and passes over faults that sit only there."""
+    sound = []
+    for one in classes:
+        try:
+            table.run.sql(body_of(one.sql)).write.format("noop").mode("overwrite").save()
+            sound.append(one)
+        except STATEMENT_FAULTS as fault:
+            outcomes.update({position: Outcome(fault=type(fault).__name__) for position in one.members})
+    return sound
+
+
+def _counted(statements: list[tuple[int, str]], table: Binding, strict: bool, measured: bool) -> dict[int, Outcome]:
+    """Outcomes of statements on one table by their positions."""
+    outcomes: dict[int, Outcome] = {}
+    texts = [(position, sql, _plain_condition(sql, table)) for position, sql in statements]
+    plain = [(position, sql, text) for position, sql, text in texts if text is not None]
+    filters = dict(zip([position for position, _, _ in plain], _filters([text for _, _, text in plain], table)))
+    index = [position for position, found in filters.items() if found and found.condition]
+    others = [position for position, found in filters.items() if found and not found.condition]
+    classes = _classes([(position, sql) for position, sql, _ in texts if filters.get(position) is None], table, outcomes)
+    if strict:
+        classes = _read_in_full(classes, table, outcomes)
+    jobs: list[tuple[list[list[int]], Callable[[], list[Outcome]]]] = []
+    if index:
+        jobs.append(([[i] for i in index], partial(_count_indexed, [filters[i] for i in index], table, measured)))
+    for group in scan_groups([filters[i].text for i in others], 32, 1200) if others else []:
+        some = [others[i] for i in group]
+        jobs.append(([[i] for i in some], partial(_isolated, partial(_count_filters, table=table, measured=measured),
+                                                  [filters[i] for i in some], lambda f: f.text)))
+    for at in range(0, len(classes), PLANS_AT_ONCE):
+        some = classes[at:at + PLANS_AT_ONCE]
+        jobs.append(([c.members for c in some], partial(_isolated, partial(_count_plans, table=table, measured=measured), some,
+                                                        lambda c: c.sql)))
+    with session_settings(table.frame.sparkSession, GATE_SETTINGS), ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        for members, found in zip([m for m, _ in jobs], pool.map(lambda job: job[1](), jobs)):
+            for positions, outcome in zip(members, found, strict=True):
+                outcomes.update({position: outcome for position in positions})
+    return outcomes
 
 
 def _batches(rows: Iterable, size: int) -> Iterator[list]:
@@ -282,36 +409,32 @@ def distinct_statements(requests: DataFrame, dataset: str = "dataset", statement
             .groupBy("dataset", "statement").agg(F.count(F.lit(1)).alias("uses")))
 
 
-def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch_size: int = 64,
-                     strict: bool = False) -> DataFrame:
+def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch_size: int = 512,
+                     strict: bool = False, fingerprints: bool = False) -> DataFrame:
     """Row count of every distinct statement, NULL with the fault for those that fail.
 
-    Statements pass the driver in batches, because that is where SQL is analysed; each
-    batch is one job over the data, and its outcome is appended to a table in the shared
-    folder. Neither all statements nor all outcomes are ever held at once.
+    Statements pass the driver in batches, because that is where SQL is analysed; the outcome of a batch is appended to a
+    table in the shared folder. Neither all statements nor all outcomes are ever held at once. Of a batch, all filters that
+    compare columns with constants share one scan, other filters share scans, and statements with the same meaning are
+    counted once. With ``fingerprints`` the same jobs also tell the sums of ``fingerprint`` over the rows of each statement.
     """
     spark = statements.sparkSession
     path = new_path(spark, "statement-counts")
     spark.createDataFrame([], COUNT_SCHEMA).write.parquet(path)
     for batch in _batches(statements.toLocalIterator(), batch_size):
-        with session_settings(spark, GATE_SETTINGS):
-            prepared = [_prepare(row, tables, strict) for row in batch]
-            tasks = [p for p in prepared if isinstance(p, _Task)]
-            counted: dict[int, int | str] = {}
-            groups = _job_groups(tasks)
-            with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:  # the driver only waits for these
-                outcomes_of = list(pool.map(lambda group: _count_isolated([tasks[i] for i in group], tables), groups))
-            for group, found in zip(groups, outcomes_of):
-                counted.update(zip(group, found, strict=True))
-        results = iter(counted[i] for i in range(len(tasks)))
-        outcomes = []
-        for row, state in zip(batch, prepared, strict=True):
-            result = state if isinstance(state, str) else next(results)
-            failed = isinstance(result, str)
-            outcomes.append((row.dataset, row.statement, row.uses,
-                             None if failed else result, result if failed else None))
-        spark.createDataFrame(outcomes, COUNT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    return spark.read.schema(COUNT_SCHEMA).parquet(path)
+        by_table: dict[str, list[tuple[int, str]]] = {}
+        for position, row in enumerate(batch):
+            by_table.setdefault(row.dataset, []).append((position, row.statement))
+        found: dict[int, Outcome] = {}
+        for dataset, asked in by_table.items():
+            if dataset in tables:
+                found.update(_counted(asked, tables[dataset], strict, fingerprints))
+            else:
+                found.update({position: Outcome(fault="unknown dataset") for position, _ in asked})
+        told = [(row.dataset, row.statement, row.uses, found[i].n, *found[i].sums, found[i].fault) for i, row in enumerate(batch)]
+        spark.createDataFrame(told, COUNT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    counted = spark.read.schema(COUNT_SCHEMA).parquet(path)
+    return counted if fingerprints else counted.drop(*MEASURES)
 
 
 def with_statement_counts(requests: DataFrame, counts: DataFrame, dataset: str = "dataset",

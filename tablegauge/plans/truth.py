@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tablegauge import fixed_values as fv
 from tablegauge.functions.rounding import round_exact
 from tablegauge.functions.tools import expected_tools
+from tablegauge.operators import predicates
 from tablegauge.operators.statements import (
     GATE_SETTINGS,
     STATEMENT_FAULTS,
     Binding,
     body_of,
-    run_statement,
+    empty_like,
+    judged,
     scan_groups,
 )
 from tablegauge.sources.schemas import SPEC_SCHEMA
@@ -27,28 +29,47 @@ PER_SCAN = 32
 CHARACTERS_PER_SCAN = 1200
 
 
-def filter_truth(frame: DataFrame, predicates: Mapping[str, str] | Sequence[tuple[str, str]],
+def filter_truth(frame: DataFrame, conditions: Mapping[str, str] | Sequence[tuple[str, str]],
                  metric: str) -> DataFrame:
-    """For each named predicate: rows selected and the rate of a 0/1 metric in percent.
+    """For each named condition: rows selected and the rate of a 0/1 metric in percent.
 
-    Predicates share scans as filtered aggregates, up to ``PER_SCAN`` of them, so the data is
-    read once and one partial row per task is shuffled. An empty selection has no rate.
+    Conditions that compare columns with constants are counted in one scan, however many they are (see ``predicates``).
+    Others share scans as filtered aggregates, up to ``PER_SCAN`` of them. An empty selection has no rate.
     """
-    items = list(predicates.items()) if isinstance(predicates, Mapping) else list(predicates)
-    parts = []
+    items = list(conditions.items()) if isinstance(conditions, Mapping) else list(conditions)
+    texts = [text for _, text in items]
     with session_settings(frame.sparkSession, GATE_SETTINGS):
-        for group in scan_groups([text for _, text in items], PER_SCAN, CHARACTERS_PER_SCAN):
+        trees = predicates.analysed(empty_like(frame), texts)
+        known = {i: found for i, tree in enumerate(trees) if (found := predicates.indexed(texts[i], tree))}
+        others = [i for i in range(len(items)) if i not in known]
+        parts = _counted_in_cells(frame, items, known, metric) if known else []
+        for group in scan_groups([texts[i] for i in others], PER_SCAN, CHARACTERS_PER_SCAN) if others else []:
+            some = [others[i] for i in group]
             wide = frame.agg(*[
-                F.expr(f"{call} FILTER (WHERE (\n{items[i][1]}\n))").alias(f"{name}{i}")
-                for i in group for call, name in (("count(*)", "n"), (f"avg(`{metric}`)", "m"))])
-            rows = [F.struct(F.lit(i).alias("position"), F.lit(items[i][0]).alias("name"),
-                             F.lit(items[i][1]).alias("predicate"), F.col(f"n{i}").alias("n"),
-                             (100.0 * F.col(f"m{i}")).alias("rate")) for i in group]
+                F.expr(f"{call} FILTER (WHERE (\n{texts[i]}\n))").alias(f"{name}{i}")
+                for i in some for call, name in (("count(*)", "n"), (f"avg(`{metric}`)", "m"))])
+            rows = [F.struct(*_named(items, i), F.col(f"n{i}").alias("n"), (100.0 * F.col(f"m{i}")).alias("rate")) for i in some]
             parts.append(wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
     return _union(parts).withColumn("rate_1", round_exact(F.col("rate"), 1)).withColumn(
         "empty_selection", F.col("n") == 0)
 
 
+def _named(items: Sequence[tuple[str, str]], i: int) -> list[Column]:
+    return [F.lit(i).alias("position"), F.lit(items[i][0]).alias("name"), F.lit(items[i][1]).alias("predicate")]
+
+
+def _counted_in_cells(frame: DataFrame, items: Sequence[tuple[str, str]], known: Mapping[int, predicates.Condition],
+                      metric: str) -> list[DataFrame]:
+    positions, value = list(known), F.col(f"`{metric}`")
+    measures = {"total": value.cast("double"), "filled": value.isNotNull().cast("bigint")}
+    found = _union(predicates.matches(frame, list(known.values()), measures))
+    asked = frame.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(*_named(items, i), F.lit(at).alias("at")) for at, i in enumerate(positions)])))
+    told = asked.join(F.broadcast(found.withColumnRenamed("position", "at")), "at", "left")  # one row a condition
+    return [told.select("position", "name", "predicate", F.coalesce("n", F.lit(0)).alias("n"),
+                        F.when(F.col("filled") > 0, 100.0 * (F.col("total") / F.col("filled"))).alias("rate"))]
+
+
 # One aggregate call, optionally scaled, over one table with an optional condition.
 _ONE_AGGREGATE = re.compile(
     r"select\s+(?P<factor>[\d.]+\s*\*\s*)?(?P<call>(?:count|sum|avg|min|max)\s*\([^()]*\))"
@@ -63,9 +84,11 @@ def _shared_scan_form(sql: str, table: Binding) -> str | None:
     condition = match["condition"] or "true"
     if re.search(r"\b(?:select|over)\b", condition, re.IGNORECASE):
         return None
+    if re.search(r"\bdistinct\b", match["call"], re.IGNORECASE):
+        return None  # several of them would multiply the rows of all that share the scan
     text = f"{match['factor'] or ''}{match['call']} FILTER (WHERE (\n{condition}\n))"
     try:
-        table.frame.agg(F.expr(text))
+        table.empty.agg(F.expr(text))
     except STATEMENT_FAULTS:
         return None
     return text
@@ -82,12 +105,13 @@ def question_truth(table: Binding, statements: Mapping[str, str] | Sequence[tupl
     parts, shared = [], []
     with session_settings(table.frame.sparkSession, GATE_SETTINGS):
         for position, (name, sql) in enumerate(items):
-            answer = run_statement(sql, table)
+            judged(sql, table)
             text = _shared_scan_form(sql, table)
             row = [F.lit(position).alias("position"), F.lit(name).alias("name"), F.lit(sql).alias("statement")]
             if text is not None:
                 shared.append((F.expr(text).cast("double").alias(f"v{position}"), row, position))
             else:
+                answer = table.run.sql(body_of(sql))
                 first = answer.toDF(*[f"v{i}" for i in range(len(answer.columns))]).limit(1)
                 parts.append(first.agg(F.max(F.col("v0").cast("double")).alias("value")).select(*row, "value"))
         for group in scan_groups([items[position][1] for _, _, position in shared], PER_SCAN, CHARACTERS_PER_SCAN):

@@ -95,11 +95,9 @@ class Registry:
         return self._bound[name]
 
     def close(self) -> None:
-        """Release persisted tables and the views of all bound ones."""
+        """Release persisted tables and the sessions of all bound ones."""
         for frame in self._kept:
             frame.unpersist()
-        for table in self._bound.values():
-            table.frame.sparkSession.catalog.dropTempView(table.view)
         self._kept, self._bound = [], {}
 
     def __enter__(self) -> Registry:

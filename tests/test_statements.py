@@ -22,9 +22,16 @@ from tablegauge.operators.dashboard import Dashboard
     r"SELECT '\' -- ' AS a, reflect('java.lang.Math', 'abs', -1)", r"SELECT '\' , ') q, (SELECT '1' AS z",
     "SELECT * FROM crashes WHERE age > (SELECT max(id) FROM other_view)",
     "SELECT * FROM crashes WHERE EXISTS (SELECT reflect('java.lang.Math', 'abs', age))",
+    "SELECT shout(planet) FROM crashes", "SELECT current_user()", "SELECT input_file_name() FROM crashes", "SELECT version()",
+    "SELECT * FROM crashes WHERE shout(planet) = 'ZORGON'", "SELECT current_catalog(), current_database()",
+    "SELECT * FROM global_temp.everybodys", "SELECT * FROM kept_table", "SELECT * FROM global_temp.crashes",
 ])
 def test_refused(spark, crash_table, sql):
     spark.range(3).createOrReplaceTempView("other_view")
+    spark.range(3).createOrReplaceGlobalTempView("everybodys")
+    spark.range(3).createOrReplaceGlobalTempView("crashes")
+    spark.range(3).write.mode("overwrite").saveAsTable("kept_table")
+    spark.udf.register("shout", lambda text: text.upper())
     assert st.try_statement(sql, crash_table) is None
 
 
@@ -39,6 +46,26 @@ def test_accepted(crash_table, sql, rows):
     assert st.run_statement(sql, crash_table).count() == rows
 
 
+def test_nothing_is_left_in_the_session(spark):
+    before = {t.name for t in spark.catalog.listTables()} | {t.name for t in spark.catalog.listTables("global_temp")}
+    table = st.bind(spark.range(5), "numbers")
+    assert st.run_statement("SELECT * FROM numbers WHERE id > 2", table).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} | {t.name for t in spark.catalog.listTables("global_temp")} == before
+
+
+def test_answers_mix_with_tables_of_the_caller(spark, crash_table):
+    answer = st.run_statement("SELECT planet, count(*) AS n FROM crashes GROUP BY planet", crash_table)
+    mine = spark.createDataFrame([("Zorgon", 1)], "planet string, m int")
+    assert mine.join(answer, "planet").first().n == 30 and answer.join(mine, "planet").first().m == 1
+    assert answer.select("planet").unionByName(mine.select("planet")).count() == 4
+
+
+def test_settings_of_the_caller_hold(spark):
+    with st.session_settings(spark, {"spark.sql.shuffle.partitions": "3"}):
+        table = st.bind(spark.range(5), "numbers")
+        assert table.gate.conf.get("spark.sql.shuffle.partitions") == table.run.conf.get("spark.sql.shuffle.partitions") == "3"
+
+
 def test_order_survives_the_gate(crash_table):
     ages = [r.age for r in st.run_statement("SELECT age FROM crashes ORDER BY age DESC LIMIT 5", crash_table).collect()]
     assert ages == [67, 66, 65, 64, 63]
@@ -61,6 +88,12 @@ STATEMENTS = {
     "SELECT * FROM crashes WHERE age > 60 LIMIT 2": 2, "SELECT * FROM crashes WHERE age > 60 OR planet = 'Xylpha'": 27,
     "SELECT planet, 1 / (age - 20) FROM crashes": 100, "SELECT * FROM crashes WHERE age": None,
     "SELECT * FROM crashes WHERE (age > 60": None, "SELECT * FROM crashes WHERE age > 60) OR (age < 20": None,
+    "SELECT * FROM crashes WHERE count(*) > 1": None, "SELECT * FROM crashes WHERE age > 60 AS x": None,
+    "SELECT * FROM crashes WHERE age > 60 ORDER BY age": 7, "SELECT * FROM crashes WHERE explode(array(true))": None,
+    "SELECT * FROM crashes WHERE reflect('java.lang.Math', 'abs', age) = 1": None, "SELECT * FROM crashes WHERE planet LIKE 'Z%'": 30,
+    "select * from crashes where 'Zorgon' = planet": 30, "SELECT planet, count(*) FROM crashes GROUP BY planet": 3,
+    "select PLANET , count( * ) from Crashes group by PLANET": 3, "SELECT * FROM crashes WHERE true -- all": 100,
+    "SELECT * FROM crashes WHERE age > 1000": 0, "SELECT * FROM crashes WHERE planet = 'x' AND rand() < 2": 0,
 }
 
 
@@ -79,6 +112,42 @@ def test_strict_counts_see_faults_in_the_projection(spark, crash_table):
     assert st.count_statements(rows, {"crashes": crash_table}, strict=True).first().n is None
 
 
+def test_one_count_for_one_meaning(spark, crash_table):
+    """Spelling, spacing and the order of operands make no plan of their own."""
+    same = ["SELECT planet FROM crashes WHERE age > 20 AND planet = 'Zorgon' GROUP BY planet",
+            "select  Planet from CRASHES where 'Zorgon' = planet and age > 20 group by planet",
+            "SELECT planet FROM crashes WHERE (planet = 'Zorgon') AND 20 < age GROUP BY planet"]
+    other = "SELECT planet FROM crashes WHERE age > 21 AND planet = 'Zorgon' GROUP BY planet"
+    outcomes = {}
+    classes = st._classes(list(enumerate([*same, other])), crash_table, outcomes)
+    assert sorted(c.members for c in classes) == [[0, 1, 2], [3]] and outcomes == {}
+    rows = spark.createDataFrame([("crashes", s, 1) for s in [*same, other]], "dataset string, statement string, uses bigint")
+    assert [r.n for r in st.count_statements(rows, {"crashes": crash_table}).collect()] == [1] * 4
+
+
+def test_fingerprints(spark, crash_table):
+    """Statements with the same rows in whatever order, and only those, have equal fingerprints."""
+    answers = ["SELECT * FROM crashes WHERE planet = 'Zorgon'", "SELECT * FROM crashes WHERE NOT planet <> 'Zorgon'",
+               "SELECT * FROM crashes WHERE planet LIKE 'Zor%'", "SELECT * FROM crashes WHERE planet = 'Zorgon' ORDER BY age",
+               "SELECT * FROM crashes WHERE crew_role = 'pilot' AND age < 48", "SELECT * FROM crashes WHERE planet = 'none'",
+               "SELECT * FROM crashes LIMIT 0", "SELECT age FROM crashes WHERE planet = 'Zorgon'", "SELECT * FROM crashes WHERE age = 'x'"]
+    rows = spark.createDataFrame([("crashes", s, 1) for s in answers], "dataset string, statement string, uses bigint")
+    found = {r.statement: (r.n, r.rows_a, r.rows_b) for r in
+             st.count_statements(rows, {"crashes": crash_table}, fingerprints=True).collect()}
+    told = [found[s] for s in answers]
+    assert told[0] == told[1] == told[2] == told[3] != told[4] and told[5] == told[6] == (0, 0, 0) and told[8] == (None, None, None)
+    assert told[7][0] == 30 and told[7] != told[0]
+    frames = [st.run_statement(s, crash_table) for s in answers[:5]]
+    assert [st.same_rows(frames[0], f).first().same for f in frames] == [t == told[0] for t in told[:5]]
+
+
+def test_fingerprint_counts_missing_values_by_place(spark):
+    tables = [spark.createDataFrame(rows, "a int, b int") for rows in (
+        [(None, 5)], [(5, None)], [(5, 5)], [(None, 5), (None, 5)], [(None, 5), (5, None)], [(5, None), (None, 5)])]
+    sums = [tuple(t.agg(*[F.sum(c) for c in st.fingerprint(t).values()]).first()) for t in tables]
+    assert len(set(sums[:5])) == 5 and sums[4] == sums[5]
+
+
 def test_lookup_of_hot_statements(spark):
     counts = spark.createDataFrame([("a", f"s{i}", 9000 if i == 0 else 1, i, None) for i in range(1500)],
                                    "dataset string, statement string, uses bigint, n bigint, fault string")
