@@ -4,7 +4,7 @@ Only the longest windows are counted: every word with the words that lead it by
 where its piece ends. A ROLLUP over the five columns then sums the windows of each shorter prefix, so phrases of one to
 five words come from one table of windows and texts are not exploded once for each length.
 
-Words travel as 64-bit hashes, which are checked to be distinct within a language. A window also ends before a word, or a
+Words travel as hashes, which are checked to be distinct within a language and made wider until they are. A window also ends before a word, or a
 pair of neighbours, that occurs too rarely to be in any phrase of the answer. Both are looked up in bit filters of a fixed
 size, which may let rare ones through but never stop a frequent one: they spare shuffled rows and change no result.
 """
@@ -69,11 +69,12 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
 
 
 def word_keys(lang: str, words: list[bytes], attempt: int) -> np.ndarray:
-    """Hash of each word of a language; another attempt gives other hashes."""
+    """Hash of each word of a language; another attempt gives other hashes, with 48, 56 and then 64 bits. Fewer bits make
+    less to shuffle."""
     import xxhash
 
     seed = xxhash.xxh3_64_intdigest(lang.encode(), attempt)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words)) >> np.uint64(max(0, 16 - 8 * attempt))
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -81,6 +82,11 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) * _ODD[2]
 
 
+def short(keys: np.ndarray) -> np.ndarray:
+    """The upper 32 bits."""
+    return keys >> np.uint64(32)
+
+
 class BitFilter:
     """A set of 64-bit keys in a fixed number of bits. What was put in is always found."""
 
@@ -119,23 +125,37 @@ def _texts(docs: DataFrame) -> DataFrame:
                                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def count_words(docs: DataFrame, attempt: int = 0) -> DataFrame:
-    """lang, word, key, n for every word of every language."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """lang, word, n for every word of every language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in chunks(batches):
             counted = Counter(words)
             del counted[_END]
-            keys = word_keys(lang, list(counted), attempt)
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(keys), pa.string()), pa.array(list(counted), pa.binary()).cast(pa.string()),
-                pa.array(keys.view(np.int64)), pa.array(list(counted.values()), pa.int64())], names=["lang", "word", "key", "n"])
+                pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.binary()).cast(pa.string()),
+                pa.array(list(counted.values()), pa.int64())], names=["lang", "word", "n"])
+
+    made = _texts(docs).mapInArrow(run, "lang string, word string, n long")
+    return made.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def with_keys(words: DataFrame, attempt: int) -> DataFrame:
+    """Counted words with their hash as ``key``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [word_keys(lang, [word.encode()], attempt)[0] for lang, word in
+                    zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))],
+                                             names=["lang", "word", "n", "key"])
 
-    made = _texts(docs).mapInArrow(run, "lang string, word string, key long, n long")
-    return made.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "lang string, word string, n long, key long")
 
 
 def count_pairs(docs: DataFrame, attempt: int, words: BitFilter) -> DataFrame:
-    """key, n of neighbouring words that may both be frequent."""
+    """key, n of neighbouring words that may both be frequent.
+
+    The counts only serve a filter, so a key has 32 bits: pairs that share one count as more frequent than they are.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +163,7 @@ def count_pairs(docs: DataFrame, attempt: int, words: BitFilter) -> DataFrame:
             keys = word_keys(lang, some, attempt)
             known = spread.value.found(keys) & (keys != word_keys(lang, [_END], attempt))
             both = known[:-1] & known[1:]
-            pairs, n = np.unique(pair_keys(keys[:-1][both], keys[1:][both]), return_counts=True)
+            pairs, n = np.unique(short(pair_keys(keys[:-1][both], keys[1:][both])), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return _texts(docs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -156,7 +176,7 @@ def windows(keys: np.ndarray, known: np.ndarray, words: BitFilter, pairs: BitFil
     """
     starts = known & words.found(keys)
     joined = starts[:-1] & starts[1:]
-    joined[joined] = pairs.found(pair_keys(keys[:-1][joined], keys[1:][joined]))
+    joined[joined] = pairs.found(short(pair_keys(keys[:-1][joined], keys[1:][joined])))
     joined = np.append(joined, np.zeros(len(LEADS), bool))
     lead = np.append(keys, np.zeros(len(LEADS), np.uint64))
     rows, on = np.zeros((len(keys), len(LEADS)), np.uint64), starts.copy()
@@ -192,12 +212,18 @@ def count_windows(docs: DataFrame, attempt: int, words: BitFilter, pairs: BitFil
 
 
 def prefixes(top: DataFrame, least: int) -> DataFrame:
-    """lang, phrase (1 to 5 keys), a: every prefix of the windows that occurs often enough, by ROLLUP over the lead columns."""
-    summed = top.rollup("lang", *LEADS).agg(F.sum("n").alias("a"), F.grouping_id().alias("_level"))
-    phrase = F.array_compact(F.array(*LEADS))
-    length = F.lit(len(LEADS)) - F.bit_count("_level")
+    """lang, phrase (1 to 5 keys), a: every prefix of the windows that occurs often enough.
+
+    Full windows are counted already; a ROLLUP over the columns before the last lead sums what is shorter.
+    """
+    columns = LEADS[:-1]
+    summed = top.rollup("lang", *columns).agg(F.sum("n").alias("a"), F.grouping_id().alias("_level"))
+    phrase = F.array_compact(F.array(*columns))
+    length = F.lit(len(columns)) - F.bit_count("_level")
     # A padded window has no prefix of its full length; levels without a word are sums of whole languages.
-    return summed.where((F.col("a") >= least) & (length > 0) & (F.size(phrase) == length)).select("lang", phrase.alias("phrase"), "a")
+    shorter = summed.where((F.col("a") >= least) & (length > 0) & (F.size(phrase) == length)).select("lang", phrase.alias("phrase"), "a")
+    full = top.where(F.col(LEADS[-1]).isNotNull() & (F.col("n") >= least))
+    return shorter.unionByName(full.select("lang", F.array(*LEADS).alias("phrase"), F.col("n").alias("a")))
 
 
 def _score(a: str, n: str, left: str, right: str) -> Column:
@@ -210,8 +236,9 @@ def _score(a: str, n: str, left: str, right: str) -> Column:
 
 def _distinct_words(docs: DataFrame) -> tuple[DataFrame, int]:
     """Counted words with hashes that differ within each language, and the attempt that gave them."""
+    counted = staged(count_words(docs), "words")
     for attempt in count():
-        words = staged(count_words(docs, attempt), "words")
+        words = staged(with_keys(counted, attempt), "words")
         if words.groupBy("lang", "key").count().where("count > 1").isEmpty():
             return words, attempt
     raise AssertionError

@@ -62,8 +62,8 @@ NOTICES = [
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     Template("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
              "to this work.", ("waived all copyright and related or neighboring rights",)),
-    Template("GPL-2.0", "under the terms of the GNU General Public License, version 2", ("gnu general public license version 2",)),
-    Template("GPL-3.0", "under the terms of the GNU General Public License, version 3", ("gnu general public license version 3",)),
+    Template("GPL-2.0", "GNU General Public License, version 2", ("gnu general public license version 2",)),
+    Template("GPL-3.0", "GNU General Public License, version 3", ("gnu general public license version 3",)),
     Template("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the "
              "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at "
              "your option) any later version.", ("gnu general public license as published by the free software foundation",

@@ -41,8 +41,8 @@ def brute(rows, least, first):
 
 
 def answer(spark, rows, given=SMALL):
-    docs = spark.createDataFrame([(lang, text, "x", 1) for lang, text in rows], "lang string, text string, LANG string, n long")
-    return sorted(map(tuple, mine(docs.repartition(3), given).collect()))
+    docs = spark.createDataFrame([(lang, text, "x", 1) for lang, text in rows], "a string, b string, c string, d long")
+    return sorted(map(tuple, mine(docs.repartition(3).toDF("lang", "text", "LANG", "n"), given).collect()))
 
 
 ROWS = [
@@ -76,14 +76,14 @@ def test_empty_table(spark):
 def test_no_word_hash_is_trusted(spark, monkeypatch):
     """Words that share a hash lead to other hashes, not to sums of two words."""
     docs = spark.createDataFrame([("en", "a b c " * 3)], "lang string, text string")
-    once, attempts = collocations.count_words, []
+    once, attempts = collocations.with_keys, []
 
-    def colliding(docs, attempt):
+    def colliding(words, attempt):
         attempts.append(attempt)
-        made = once(docs, attempt)
+        made = once(words, attempt)
         return made.withColumn("key", made.n) if attempt == 0 else made
 
-    monkeypatch.setattr(collocations, "count_words", colliding)
+    monkeypatch.setattr(collocations, "with_keys", colliding)
     assert [r.phrase for r in mine(docs, SMALL).collect()] == ["a b c"]
     assert attempts == [0, 1]
 
@@ -96,9 +96,11 @@ def test_products_beyond_64_bits(spark):
 
 @pytest.mark.parametrize("power", [15, 16])
 def test_filter_finds_all(spark, power):
+    """Whatever was put in is found, in the same number of bytes whatever the number of keys."""
     keys = np.random.default_rng(3).integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
     table = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long")
     made = BitFilter.gathered(table, power)
+    assert collocations.word_keys("en", [b"a"], 0)[0] < 2**48 <= collocations.word_keys("en", [b"a"], 2)[0]
     assert made.found(keys).all() and len(made.bits) == 2**power // 8
     others = np.random.default_rng(4).integers(0, 2**63, 3000, dtype=np.uint64)
     assert made.found(others).mean() < 0.2

@@ -37,8 +37,8 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def found(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, *TEXTS])], "doc_id long, text string").withColumns(
-        {"Text": F.lit("mit license"), "n_words": F.lit(1)})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, *TEXTS])], "doc_id long, text string")
+    docs = docs.select("*", F.lit("mit license"), F.lit(1)).toDF("doc_id", "text", "Text", "n_words")
     return {r.doc_id: r for r in licenses.scan(docs.repartition(3)).collect()}
 
 
