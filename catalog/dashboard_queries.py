@@ -121,8 +121,7 @@ def vocabulary(spark, sf_dir):
 @query("D6_last_update_wins", RUNS + """
     select model, arg_max(update_sql, run_id) filter (update_sql is not null) as statement from runs group by model""")
 def last_update(spark, sf_dir):
-    return v.runs(spark, sf_dir).groupBy("model").agg(
-        dash.last_update(F.col("update_sql"), F.col("run_id")).alias("statement"))
+    return dash.last_updates(v.runs(spark, sf_dir), ["model"], "update_sql", "run_id").withColumnRenamed("update_sql", "statement")
 
 
 @query("D7_title_with_fallback", """
@@ -135,12 +134,23 @@ def title(spark, sf_dir):
             .groupBy("title").agg(F.count(F.lit(1)).alias("n")))
 
 
-_REFUSED = ["DROP TABLE manifest", "DELETE FROM manifest", "SHOW TABLES", "SELECT 1; SELECT 2",
-            "SELECT reflect('java.lang.Math', 'abs', -1)", "SELECT * FROM manifest) q, (SELECT 1"]
+_REFUSED = [
+    "DROP TABLE manifest", "DELETE FROM manifest", "SHOW TABLES", "SELECT 1; SELECT 2", "SELECT * FROM manifest) q, (SELECT 1",
+    "SELECT reflect('java.lang.Math', 'abs', -1)", "SELECT IDENTIFIER('reflect')('java.lang.Math', 'abs', -1)",
+    r"SELECT '\' -- ' AS a, reflect('java.lang.Math', 'abs', -1)", "SELECT try_reflect/* */('java.lang.Math', 'abs', -1)",
+    "SELECT * FROM manifest WHERE EXISTS (SELECT java_method('java.lang.Math', 'abs', n_chars))",
+    "SELECT * FROM all_documents", "SELECT * FROM global_temp.all_documents", "SELECT lang FROM manifest WHERE n_chars > (SELECT min(doc_id) FROM all_documents)",
+    "SELECT shout(lang) FROM manifest", "SELECT input_file_name() FROM manifest", "SELECT current_user(), version()",
+]
 
 
 @query("D8_read_only_gate", MANIFEST + "select lang, count(*) as n, 0 as accepted from manifest group by lang")
 def gate(spark, sf_dir):
+    """What no statement may do, with views and functions in the session that it must not reach."""
+    documents = v.read(spark, sf_dir, "documents")
+    documents.createOrReplaceTempView("all_documents")
+    documents.createOrReplaceGlobalTempView("all_documents")
+    spark.udf.register("shout", lambda text: text.upper())
     table = bind(v.manifest(spark, sf_dir), "manifest")
     accepted = sum(try_statement(text, table) is not None for text in _REFUSED)
     allowed = try_statement("WITH a AS (SELECT * FROM manifest) SELECT lang, count(*) AS n FROM a GROUP BY lang;", table)

@@ -14,6 +14,7 @@ from tablegauge.operators.statements import (
     count_statements,
     distinct_statements,
     run_statement,
+    same_answers,
     same_rows,
     with_statement_counts,
 )
@@ -92,6 +93,26 @@ def same_rows_strict(spark, sf_dir):
                      run_statement("SELECT * FROM manifest WHERE lang = 'en'", table))
 
 
+def _agrees(condition: str) -> str:
+    return f"(select count(*) filter (coalesce({condition}, false) <> coalesce(m.quality = 1 and m.lang = 'en', false)) = 0 from manifest m)"
+
+
+@query("C5_same_answers", v.with_ctes(v.MANIFEST, v.RUNS, v.COUNTS) + f"""
+    select s.dataset, s.statement, coalesce(case when s.dataset = 'manifest' then case s.k % 8
+        when 0 then {_agrees("m.lang = case s.k % 3 when 0 then 'de' when 1 then 'en' else 'DE' end")}
+        when 1 then {_agrees("m.n_chars < s.k * 40")} when 2 then true end end, false) as same
+    from statements s""")
+def same_answers_of_statements(spark, sf_dir):
+    """Every statement against one with the right rows, by fingerprints from the scan that counts them."""
+    truth = "select * from manifest where 'en' = lang and not quality <> 1"
+    tables = {"manifest": bind(v.manifest(spark, sf_dir), "manifest"), "labels": bind(v.read(spark, sf_dir, "labels"), "labels")}
+    asked = distinct_statements(v.runs(spark, sf_dir), "dataset", "update_sql")
+    wanted = spark.range(1).select(F.lit("manifest").alias("dataset"), F.lit(truth).alias("statement"), F.lit(0).cast("bigint").alias("uses"))
+    found = count_statements(asked.unionByName(wanted), tables, fingerprints=True)
+    pairs = asked.select("dataset", "statement", F.lit("manifest").alias("truth_dataset"), F.lit(truth).alias("truth"))
+    return same_answers(pairs, found).select("dataset", "statement", "same")
+
+
 @query("C6_filter_score", _JUDGED + """
     select model, config, count(*) as n, sum(case when ok then 1.0 else 0.0 end)::double as right_rows
     from judged where family = 'filter' group by model, config""")

@@ -60,6 +60,25 @@ def fifty_predicates(spark, sf_dir):
     return truth.filter_truth(v.manifest(spark, sf_dir), MANY, "quality").select("name", "n", "rate")
 
 
+# Conditions of four kinds over four columns, written i times each with other constants.
+_KINDS = ["n_chars < {a}", "lang = '{l}' and n_chars >= {b}", "quality = {q} or n_chars between {b} and {a}", "source <> 'src{q}' and not is_toxic"]
+FIVE_HUNDRED = {f"c{i}": _KINDS[i % 4].format(a=40 * i, b=20 * i, q=i % 2, l=("en", "de", "fr", "DE")[i // 4 % 4]) for i in range(500)}
+
+
+@query("T1_five_hundred_conditions", MANIFEST + """
+    select 'c' || i as name, count(*) as n, 100.0 * avg(quality) as rate
+    from manifest, (select unnest(range(500)) as i) r
+    where case i % 4 when 0 then n_chars < 40 * i
+      when 1 then lang = ['en', 'de', 'fr', 'DE'][i // 4 % 4 + 1] and n_chars >= 20 * i
+      when 2 then quality = i % 2 or n_chars between 20 * i and 40 * i
+      else source <> 'src' || (i % 2) and not is_toxic end
+    group by i""")
+def five_hundred_conditions(spark, sf_dir):
+    """All of them in one scan of the table; those that select nothing are left out here."""
+    found = truth.filter_truth(v.manifest(spark, sf_dir), FIVE_HUNDRED, "quality")
+    return found.where("n > 0").select("name", "n", "rate")
+
+
 @query("T2_question_truth", MANIFEST + " union all ".join(
     f"select '{name}' as name, x as value, cast(printf('%.2f', x) as double) as value_2 "
     f"from (select cast(({text}) as double) as x) q" for name, text in QUESTIONS.items()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge import fixed_values as fv
+from tablegauge.operators.extract import first_of_each
 from tablegauge.operators.statements import bind, run_statement
 
 
@@ -65,9 +66,10 @@ def title_or_default(title: Column, default: str) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.lit(default))
 
 
-def last_update(statement: Column, position: Column) -> Column:
-    """Aggregate: the statement sent last; NULL statements do not count."""
-    return F.max_by(statement, F.when(statement.isNotNull(), position))
+def last_updates(calls: DataFrame, group: list[str], statement: str, position: str) -> DataFrame:
+    """The statement that each group sent last, NULL where it sent none; NULL statements do not count."""
+    rows = calls.select(*group, statement, position)
+    return first_of_each(rows, group, F.col(statement).isNull(), F.desc(position)).drop(position)
 
 
 def profile(frame: DataFrame, exact: bool = False) -> DataFrame:

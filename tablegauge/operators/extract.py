@@ -1,13 +1,14 @@
 """Extraction from conversation logs: nested turns, turn tables and attempts.
 
 Nested turns are handled inside their row by array functions. Where turns or calls are
-rows of their own, only aggregates with a fixed-size state are used, so a conversation
-of any length is combined map-side and never gathered in one task.
+rows of their own, aggregates have a fixed-size state, and where one row of a group is
+wanted, tasks keep one each before rows are shuffled. So a conversation of any length is
+combined map-side and never gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge import fixed_values as fv
@@ -15,6 +16,16 @@ from tablegauge.functions import errors
 from tablegauge.functions.replies import trimmed
 
 
+def first_of_each(rows: DataFrame, group: list[str], *order: Column) -> DataFrame:
+    """The first row of every group by an order; of equal ones any.
+
+    Spark limits groups to their first row in every task already, so what is shuffled is one row a task and group, however
+    many rows a group has.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def summed_tokens(turns: Column, index: int) -> Column:
     """Input (0), output (1) or cached (2) tokens over assistant turns; absent entries are 0."""
     def amount(turn: Column) -> Column:
@@ -79,11 +90,10 @@ def run_results(conversations: DataFrame, turns: str = "turns") -> DataFrame:
 def last_answers(turn_rows: DataFrame, conversation: str = "conv_id", turn: str = "turn",
                  role: str = "role", text: str = "text") -> DataFrame:
     """Final answer per conversation from one-row-per-turn tables."""
-    last = F.max_by(F.struct(F.col(role).alias("role"), F.col(text).alias("text")), F.col(turn)).alias("last")
-    return turn_rows.groupBy(conversation).agg(last).select(
-        conversation, F.col("last.role").alias("last_role"),
-        F.when(F.col("last.role") == "assistant", F.coalesce(trimmed(F.col("last.text")), F.lit("")))
-        .otherwise(F.lit("")).alias("text"))
+    last = first_of_each(turn_rows.select(conversation, turn, role, text), [conversation], F.desc_nulls_last(turn))
+    spoke = F.when(F.col(turn).isNotNull(), F.col(role))
+    return last.select(conversation, spoke.alias("last_role"), F.when(spoke == "assistant", F.coalesce(trimmed(F.col(text)), F.lit("")))
+                       .otherwise(F.lit("")).alias("text"))
 
 
 def summed_turn_tokens(turn_rows: DataFrame, conversation: str, role: str = "role",
@@ -103,14 +113,16 @@ def tool_call_results(call_rows: DataFrame, run: str, position: str = "position"
 
     The set of tools is bounded by the tool vocabulary; ordered lists of calls stay rows.
     """
-    tool, sql, at = F.col(name), F.col(statement), F.col(position)
-    is_update = (tool == fv.UPDATE_TOOL) & sql.isNotNull()
-    known = [F.max(F.when(tool == t, F.lit(t))) for t in
-             (fv.SCHEMA_TOOL, fv.UPDATE_TOOL, fv.QUERY_TOOL, fv.RESET_TOOL)]
-    return call_rows.groupBy(run).agg(
-        F.sort_array(F.array_compact(F.array(*known))).alias("tools"), F.count(tool).alias("n_tools"),
-        F.max_by(F.when(is_update, sql), F.when(is_update, at)).alias("update_sql"),
-        F.coalesce(F.max(tool == fv.RESET_TOOL), F.lit(False)).alias("reset"))
+    tool, sql = F.col(name), F.col(statement)
+    tools = (fv.SCHEMA_TOOL, fv.UPDATE_TOOL, fv.QUERY_TOOL, fv.RESET_TOOL)
+    used = call_rows.groupBy(run).agg(
+        F.count(tool).alias("n_tools"), *[F.coalesce(F.max(tool == t), F.lit(False)).alias(f"_{i}") for i, t in enumerate(tools)])
+    updates = call_rows.where((tool == fv.UPDATE_TOOL) & sql.isNotNull()).select(
+        F.col(run).alias("_run"), F.col(position).alias("_at"), sql.alias("update_sql"))
+    deciding = first_of_each(updates, ["_run"], F.desc("_at")).drop("_at")
+    names = F.array_compact(F.array(*[F.when(F.col(f"_{i}"), F.lit(t)) for i, t in enumerate(tools)]))
+    return used.join(deciding, F.col(run).eqNullSafe(F.col("_run")), "left").select(
+        run, F.sort_array(names).alias("tools"), "n_tools", "update_sql", F.col(f"_{tools.index(fv.RESET_TOOL)}").alias("reset"))
 
 
 def kept_attempts(attempts: DataFrame, request: list[str], attempt: str = "attempt", error: str = "error",
@@ -119,11 +131,6 @@ def kept_attempts(attempts: DataFrame, request: list[str], attempt: str = "attem
 
     All logged attempts count; ``max_retries`` leaves out those beyond a limit that a caller names.
     """
-    limited = errors.is_rate_limited(F.col(error))
-    order = F.struct(limited.alias("limited"),
-                     F.when(limited, -F.col(attempt)).otherwise(F.col(attempt)).alias("rank"))
-    payload = [c for c in attempts.columns if c not in request]
-    best = F.min_by(F.struct(*payload), order).alias("kept")
-    allowed = attempts if max_retries is None else attempts.where(F.col(attempt) <= max_retries)
-    return (allowed.groupBy(*request).agg(best)
-            .select(*request, "kept.*").withColumn("retries", F.col(attempt)))
+    limited, at = errors.is_rate_limited(F.col(error)), F.col(attempt)
+    allowed = attempts if max_retries is None else attempts.where(at <= max_retries)
+    return first_of_each(allowed, request, limited, F.when(limited, -at).otherwise(at)).withColumn("retries", at)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators import predicates
 from tablegauge.operators.lookup import hot_hashes, salted_lookup
 from tablegauge.operators.predicates import Condition
-from tablegauge.workdir import new_path, session_settings
+from tablegauge.workdir import new_path, session_settings, small_table
 
 # Identifiers in double quotes as in standard SQL; no file paths as tables; no ${...} expansion.
 GATE_SETTINGS = {
@@ -419,8 +419,7 @@ def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch
     counted once. With ``fingerprints`` the same jobs also tell the sums of ``fingerprint`` over the rows of each statement.
     """
     spark = statements.sparkSession
-    path = new_path(spark, "statement-counts")
-    spark.createDataFrame([], COUNT_SCHEMA).write.parquet(path)
+    path, told = new_path(spark, "statement-counts"), False
     for batch in _batches(statements.toLocalIterator(), batch_size):
         by_table: dict[str, list[tuple[int, str]]] = {}
         for position, row in enumerate(batch):
@@ -431,9 +430,11 @@ def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch
                 found.update(_counted(asked, tables[dataset], strict, fingerprints))
             else:
                 found.update({position: Outcome(fault="unknown dataset") for position, _ in asked})
-        told = [(row.dataset, row.statement, row.uses, found[i].n, *found[i].sums, found[i].fault) for i, row in enumerate(batch)]
-        spark.createDataFrame(told, COUNT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    counted = spark.read.schema(COUNT_SCHEMA).parquet(path)
+        rows = [{"dataset": row.dataset, "statement": row.statement, "uses": row.uses, "n": found[i].n, "rows_a": found[i].sums[0],
+                 "rows_b": found[i].sums[1], "fault": found[i].fault} for i, row in enumerate(batch)]
+        small_table(spark, rows, COUNT_SCHEMA).write.mode("append").parquet(path)
+        told = True
+    counted = spark.read.schema(COUNT_SCHEMA).parquet(path) if told else spark.createDataFrame([], COUNT_SCHEMA)
     return counted if fingerprints else counted.drop(*MEASURES)
 
 
@@ -452,6 +453,22 @@ def with_statement_counts(requests: DataFrame, counts: DataFrame, dataset: str =
     return salted_lookup(keyed, right, keys, hot, spread_by).drop("_normalized")
 
 
+def same_answers(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add ``same`` to pairs of statements (dataset, statement; truth_dataset, truth): have both the same rows in any order?
+
+    Compared are the fingerprints that ``count_statements`` found; a faulty statement is the same as none. Where a chance of
+    one in 2**128 is too much, ``same_rows`` tells it for the pairs that are equal by this.
+    """
+    told = pairs
+    for side, dataset, statement in (("left", "dataset", "statement"), ("right", "truth_dataset", "truth")):
+        found = counts.select(F.col("dataset").alias("_dataset"), F.col("statement").alias("_statement"),
+                              F.struct("n", *MEASURES).alias(side))
+        told = told.join(found, (F.col(dataset) == F.col("_dataset")) & (F.col(statement) == F.col("_statement")), "left") \
+            .drop("_dataset", "_statement")
+    return told.withColumn("same", F.coalesce((F.col("left") == F.col("right")) & F.col("left.n").isNotNull(), F.lit(False))) \
+        .drop("left", "right")
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: do two results hold the same rows, repeats included, whatever their order?"""
     names = [f"_{i}" for i in range(len(left.columns))]

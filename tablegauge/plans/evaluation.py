@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge import fixed_values as fv
+from tablegauge.functions import errors
 from tablegauge.operators import extract, scoring
 from tablegauge.operators.lookup import lookup
 from tablegauge.operators.statements import (
@@ -26,9 +27,10 @@ REQUEST = ["model", "provider", "reasoning", "config", "sample_id", "epoch"]
 
 
 def run_table(conversations: DataFrame, max_retries: int | None = None) -> DataFrame:
-    """One run per request from logged attempts: extracted, then the attempt that counts."""
-    runs = extract.run_results(conversations)
-    return extract.kept_attempts(runs, REQUEST, max_retries=max_retries)
+    """One run per request from logged attempts: the attempt that counts is chosen by its error, and it alone is extracted."""
+    told = conversations.withColumn("_error", errors.error_text(F.col("error_type"), F.col("error_message")))
+    kept = extract.kept_attempts(told, REQUEST, error="_error", max_retries=max_retries)
+    return extract.run_results(kept.drop("_error"))
 
 
 def with_samples(runs: DataFrame, samples: DataFrame) -> DataFrame:

@@ -260,9 +260,9 @@ def run_facts(facts: DataFrame, epoch: int = 1) -> DataFrame:
     """
     first = F.col("epoch") == epoch
     reduced = facts.groupBy("model", "config", first.alias("first"), F.when(first, F.col("input")).alias("input")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("started").alias("started"))
+        F.count(F.lit(1)).alias("n"), F.min(F.expr("try_cast(left(started, 10) as date)")).alias("day"))
     return reduced.agg(
-        F.left(F.min("started"), F.lit(10)).alias("first_date"), F.count_distinct("model").alias("models"),
+        F.min("day").cast("string").alias("first_date"), F.count_distinct("model").alias("models"),
         F.count_distinct("config").alias("configs"), F.count_distinct("input").alias("phrasings"),
         F.sum("n").alias("requests"))
 

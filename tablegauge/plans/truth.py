@@ -22,7 +22,7 @@ from tablegauge.operators.statements import (
     scan_groups,
 )
 from tablegauge.sources.schemas import SPEC_SCHEMA
-from tablegauge.workdir import session_settings
+from tablegauge.workdir import session_settings, small_table
 
 # Conditions per scan, by number and by length of text.
 PER_SCAN = 32
@@ -63,8 +63,8 @@ def _counted_in_cells(frame: DataFrame, items: Sequence[tuple[str, str]], known:
     positions, value = list(known), F.col(f"`{metric}`")
     measures = {"total": value.cast("double"), "filled": value.isNotNull().cast("bigint")}
     found = _union(predicates.matches(frame, list(known.values()), measures))
-    asked = frame.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(*_named(items, i), F.lit(at).alias("at")) for at, i in enumerate(positions)])))
+    asked = small_table(frame.sparkSession, [{"position": i, "name": items[i][0], "predicate": items[i][1], "at": at}
+                                             for at, i in enumerate(positions)], "position: int, name: string, predicate: string, at: int")
     told = asked.join(F.broadcast(found.withColumnRenamed("position", "at")), "at", "left")  # one row a condition
     return [told.select("position", "name", "predicate", F.coalesce("n", F.lit(0)).alias("n"),
                         F.when(F.col("filled") > 0, 100.0 * (F.col("total") / F.col("filled"))).alias("rate"))]

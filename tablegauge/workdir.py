@@ -6,12 +6,14 @@ executor can reach. Only a local session without that setting gets a temporary o
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
 
@@ -40,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few rows that the driver holds, as a constant of the plan: no Python worker reads it."""
+    told = json.dumps(rows, default=str)
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(told), f"array<struct<{schema}>>")))
+
+
 @contextmanager
 def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Apply session settings for a moment and put the earlier ones back."""

@@ -76,9 +76,23 @@ def test_kept_attempts(spark):
 
 
 def test_last_update_ignores_missing_statements(spark):
-    from tablegauge.operators.dashboard import last_update, title_or_default
+    from tablegauge.operators.dashboard import last_updates, title_or_default
 
-    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "at int, sql string")
-    assert rows.agg(last_update(F.col("sql"), F.col("at"))).first()[0] == "b"
+    rows = spark.createDataFrame([("x", 1, "a"), ("x", 2, "b"), ("x", 3, None), ("y", 9, None), (None, 1, "c")], "who string, at int, sql string")
+    assert {tuple(r) for r in last_updates(rows, ["who"], "sql", "at").collect()} == {("x", "b"), ("y", None), (None, "c")}
     titles = spark.createDataFrame([(None,), ("",), ("x",)], "t string").select(title_or_default(F.col("t"), "d"))
     assert [r[0] for r in titles.collect()] == ["d", "d", "x"]
+
+
+def test_one_row_a_group_without_sorting_aggregates(spark):
+    """The first row of each group is kept in every task before the shuffle, hot groups and NULLs included."""
+    rows = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("g"),
+                                      (F.col("id") * 7919 % 10_007).alias("o"), F.col("id").cast("string").alias("payload"))
+    first = extract.first_of_each(rows, ["g"], F.asc("o"))
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") == 2
+    wanted = {}
+    for r in rows.collect():
+        if r.g not in wanted or r.o < wanted[r.g].o:
+            wanted[r.g] = r
+    assert {r.g: r for r in first.collect()} == wanted

@@ -11,6 +11,19 @@ from tablegauge.operators import statements as st
 from tablegauge.operators.dashboard import Dashboard
 
 
+@pytest.fixture(scope="module")
+def surroundings(spark, tmp_path_factory):
+    """Views, a table and a function beside the bound table."""
+    spark.range(3).createOrReplaceTempView("other_view")
+    spark.range(3).createOrReplaceGlobalTempView("everybodys")
+    spark.range(3).createOrReplaceGlobalTempView("crashes")
+    spark.range(3).write.option("path", str(tmp_path_factory.mktemp("kept") / "table")).saveAsTable("kept_table")
+    spark.udf.register("shout", lambda text: text.upper())
+    assert spark.table("kept_table").count() == spark.table("global_temp.crashes").count() == 3
+    yield
+    spark.sql("DROP TABLE kept_table")
+
+
 @pytest.mark.parametrize("sql", [
     "DROP TABLE crashes", "DELETE FROM crashes", "INSERT INTO crashes VALUES (1)", "CREATE TABLE t AS SELECT 1",
     "SET spark.sql.ansi.enabled=false", "EXPLAIN SELECT 1", "SELECT 1; SELECT 2", "SHOW TABLES", "", None, "   ;",
@@ -26,12 +39,7 @@ from tablegauge.operators.dashboard import Dashboard
     "SELECT * FROM crashes WHERE shout(planet) = 'ZORGON'", "SELECT current_catalog(), current_database()",
     "SELECT * FROM global_temp.everybodys", "SELECT * FROM kept_table", "SELECT * FROM global_temp.crashes",
 ])
-def test_refused(spark, crash_table, sql):
-    spark.range(3).createOrReplaceTempView("other_view")
-    spark.range(3).createOrReplaceGlobalTempView("everybodys")
-    spark.range(3).createOrReplaceGlobalTempView("crashes")
-    spark.range(3).write.mode("overwrite").saveAsTable("kept_table")
-    spark.udf.register("shout", lambda text: text.upper())
+def test_refused(crash_table, surroundings, sql):
     assert st.try_statement(sql, crash_table) is None
 
 
