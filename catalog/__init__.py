@@ -4,6 +4,7 @@ from catalog import (  # noqa: F401  (registers the queries)
     cost_queries,
     dashboard_queries,
     extract_queries,
+    ingest_queries,
     report_queries,
     score_queries,
     truth_queries,

@@ -26,11 +26,16 @@ COMPOSITE_SCORES = ["tool_choice", "filter_rows", "answer_correct"]
 
 def cells(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts and score sums per combination of ``keys``; unused sums are pruned by Spark."""
+    return facts.groupBy(*keys).agg(*sums())
+
+
+def sums() -> list[Column]:
+    """The states of a cell; they add up over any two sets of facts."""
     parts = [F.count(F.lit(1)).alias("requests"), F.sum(F.col("error").cast("bigint")).alias("errors"),
              F.sum("api_calls").alias("api_calls"), F.sum("retries").alias("retries")]
     for score in fv.SCORES:
         parts += [F.sum(score).alias(f"sum_{score}"), F.count(score).alias(f"n_{score}")]
-    return facts.groupBy(*keys).agg(*parts)
+    return parts
 
 
 def _mean(score: str) -> Column:

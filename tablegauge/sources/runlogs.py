@@ -48,8 +48,8 @@ def score_value(letter: Column) -> Column:
     return F.when(letter.isNotNull() & (letter != "N"), F.when(letter == "C", 1.0).otherwise(0.0))
 
 
-def facts_from_logs(samples: DataFrame) -> DataFrame:
-    """Scored fact rows from logged samples, with defaults for what a log leaves out."""
+def facts_from_logs(samples: DataFrame, *more: Column) -> DataFrame:
+    """Scored fact rows from logged samples, with defaults for what a log leaves out, and ``more`` columns over the samples."""
     store, meta, sample = F.col("sample.store"), F.col("metadata"), F.col("sample.metadata")
     scores = F.col("sample.scores")
 
@@ -67,7 +67,7 @@ def facts_from_logs(samples: DataFrame) -> DataFrame:
         F.coalesce(store["retries"], F.lit(0)).alias("retries"),
         scores["number_honesty"]["metadata"]["verdict"].alias("honesty"),
         *[score_value(scores[name]["value"]).alias(name) for name in fv.SCORES],
-        F.col("created").alias("started"), "epochs", "max_samples")
+        F.col("created").alias("started"), "epochs", "max_samples", *more)
 
 
 def usage_from_logs(samples: DataFrame) -> DataFrame:
@@ -81,15 +81,25 @@ def usage_from_logs(samples: DataFrame) -> DataFrame:
 _CELL = (fv.MODEL_KEY, "provider", "config", "dataset", "reasoning")
 
 
+def start_time(column: str) -> Column:
+    """When a log was begun; logs that do not tell it are older than all that do."""
+    return F.coalesce(F.expr(f"try_cast(`{column}` as timestamp)"), F.lit("0001-01-01").cast("timestamp"))
+
+
+def run_key() -> Column:
+    """What logs of the same cell of the run matrix have in common."""
+    return F.to_json(F.struct(*[f"metadata.{c}" for c in _CELL]))
+
+
 def latest_runs(samples: DataFrame) -> DataFrame:
     """Keep the newest log of each cell where a cell was run again.
 
     The newest start per cell is a small aggregate; it is joined back instead of sorting samples.
     """
-    keyed = samples.withColumn("_cell", F.to_json(F.struct(*[f"metadata.{c}" for c in _CELL])))
-    newest = keyed.groupBy("_cell").agg(F.max("created").alias("_newest"))
+    keyed = samples.withColumns({"_cell": run_key(), "_at": start_time("created")})
+    newest = keyed.groupBy("_cell").agg(F.max("_at").alias("_newest"))
     found = lookup(keyed, newest, ["_cell"], ["sample.id", "sample.epoch"], "newest-runs")
-    return found.where(F.col("created") == F.col("_newest")).select(*samples.columns)
+    return found.where(F.col("_at") == F.col("_newest")).select(*samples.columns)
 
 
 def write_facts(facts: DataFrame, path: str, source: str = "csv", partition_by: Sequence[str] = (),
