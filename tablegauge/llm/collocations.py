@@ -4,7 +4,7 @@ Only the longest windows are counted: every word with the words that lead it by
 where its piece ends. A ROLLUP over the five columns then sums the windows of each shorter prefix, so phrases of one to
 five words come from one table of windows and texts are not exploded once for each length.
 
-Words travel as hashes, which are checked to be distinct within a language and made wider until they are. A window also ends before a word, or a
+Words travel as hashes of word and language, which are checked to be distinct and made wider until they are. A window also ends before a word, or a
 pair of neighbours, that occurs too rarely to be in any phrase of the answer. Both are looked up in bit filters of a fixed
 size, which may let rare ones through but never stop a frequent one: they spare shuffled rows and change no result.
 """
@@ -53,7 +53,7 @@ def pieces_of(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+def chunks(batches: Iterator[pa.RecordBatch], size: int = _CHUNK) -> Iterator[tuple[str, list[bytes]]]:
     """Language and words of batches of (lang, text), a bounded number at a time."""
     waiting: dict[str, list[bytes]] = {}
     held = 0
@@ -62,7 +62,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
             for words in pieces_of(text.as_py()):
                 waiting.setdefault(lang, []).extend(words)
                 held += len(words)
-                if held >= _CHUNK:
+                if held >= size:
                     yield from waiting.items()
                     waiting, held = {}, 0
     yield from waiting.items()
@@ -154,19 +154,29 @@ def with_keys(words: DataFrame, attempt: int) -> DataFrame:
 def count_pairs(docs: DataFrame, attempt: int, words: BitFilter) -> DataFrame:
     """key, n of neighbouring words that may both be frequent.
 
-    The counts only serve a filter, so a key has 32 bits: pairs that share one count as more frequent than they are.
+    The counts only serve a filter, so a key has 32 bits: pairs that share one count as more frequent than they are. Keys and
+    counts are shuffled as arrays, one for each of a number of buckets that grows with the number of partitions.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(words)
+    spark = docs.sparkSession
+    spread, buckets = spark.sparkContext.broadcast(words), max(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, some in chunks(batches):
+        for lang, some in chunks(batches, 5 * _CHUNK):
             keys = word_keys(lang, some, attempt)
             known = spread.value.found(keys) & (keys != word_keys(lang, [_END], attempt))
             both = known[:-1] & known[1:]
             pairs, n = np.unique(short(pair_keys(keys[:-1][both], keys[1:][both])), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            bounds = np.searchsorted(pairs, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(2**32) // np.uint64(buckets))
+            held = np.flatnonzero(np.diff(bounds))
+            offsets = pa.array(np.append(bounds[held], len(pairs)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(held.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(pairs.astype(np.uint32).view(np.int32))),
+                pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))], names=["bucket", "keys", "counts"])
 
-    return _texts(docs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    packed = _texts(docs).mapInArrow(run, "bucket int, keys array<int>, counts array<int>").repartition("bucket")
+    each = packed.select("bucket", F.inline(F.arrays_zip("keys", "counts")))
+    counted = each.groupBy("bucket", F.col("keys").alias("half")).agg(F.sum(F.col("counts").cast("long")).alias("n"))
+    return counted.select((F.col("half").cast("long").bitwiseAND(F.lit(2**32 - 1))).alias("key"), "n")
 
 
 def windows(keys: np.ndarray, known: np.ndarray, words: BitFilter, pairs: BitFilter) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +206,7 @@ def windows(keys: np.ndarray, known: np.ndarray, words: BitFilter, pairs: BitFil
 
 
 def count_windows(docs: DataFrame, attempt: int, words: BitFilter, pairs: BitFilter) -> DataFrame:
-    """lang, w1 to w5, n: the padded longest windows."""
+    """w1 to w5, n: the padded longest windows."""
     spread = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,26 +214,25 @@ def count_windows(docs: DataFrame, attempt: int, words: BitFilter, pairs: BitFil
             keys = word_keys(lang, some, attempt)
             rows, n = windows(keys, keys != word_keys(lang, [_END], attempt), *spread.value)
             columns = [pa.array(column, mask=column == 0) for column in rows.T.copy().view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n.astype(np.int64))],
-                                             names=["lang", *LEADS, "n"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], names=[*LEADS, "n"])
 
-    kind = "lang string, " + ", ".join(f"{w} long" for w in LEADS) + ", n long"
-    return _texts(docs).mapInArrow(run, kind).groupBy("lang", *LEADS).agg(F.sum("n").alias("n"))
+    kind = ", ".join(f"{w} long" for w in LEADS) + ", n long"
+    return _texts(docs).mapInArrow(run, kind).groupBy(*LEADS).agg(F.sum("n").alias("n"))
 
 
 def prefixes(top: DataFrame, least: int) -> DataFrame:
-    """lang, phrase (1 to 5 keys), a: every prefix of the windows that occurs often enough.
+    """phrase (1 to 5 keys), a: every prefix of the windows that occurs often enough.
 
     Full windows are counted already; a ROLLUP over the columns before the last lead sums what is shorter.
     """
     columns = LEADS[:-1]
-    summed = top.rollup("lang", *columns).agg(F.sum("n").alias("a"), F.grouping_id().alias("_level"))
+    summed = top.rollup(*columns).agg(F.sum("n").alias("a"), F.grouping_id().alias("_level"))
     phrase = F.array_compact(F.array(*columns))
     length = F.lit(len(columns)) - F.bit_count("_level")
-    # A padded window has no prefix of its full length; levels without a word are sums of whole languages.
-    shorter = summed.where((F.col("a") >= least) & (length > 0) & (F.size(phrase) == length)).select("lang", phrase.alias("phrase"), "a")
+    # A padded window has no prefix of its full length; the level without a word is the sum of all windows.
+    shorter = summed.where((F.col("a") >= least) & (length > 0) & (F.size(phrase) == length)).select(phrase.alias("phrase"), "a")
     full = top.where(F.col(LEADS[-1]).isNotNull() & (F.col("n") >= least))
-    return shorter.unionByName(full.select("lang", F.array(*LEADS).alias("phrase"), F.col("n").alias("a")))
+    return shorter.unionByName(full.select(F.array(*LEADS).alias("phrase"), F.col("n").alias("a")))
 
 
 def _score(a: str, n: str, left: str, right: str) -> Column:
@@ -235,11 +244,11 @@ def _score(a: str, n: str, left: str, right: str) -> Column:
 
 
 def _distinct_words(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Counted words with hashes that differ within each language, and the attempt that gave them."""
+    """Counted words of all languages with hashes that differ, and the attempt that gave them."""
     counted = staged(count_words(docs), "words")
     for attempt in count():
         words = staged(with_keys(counted, attempt), "words")
-        if words.groupBy("lang", "key").count().where("count > 1").isEmpty():
+        if words.groupBy("key").count().where("count > 1").isEmpty():
             return words, attempt
     raise AssertionError
 
@@ -258,7 +267,9 @@ def mine(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     known = gather(words.where(frequent))
     pairs = gather(count_pairs(docs, attempt, known).where(frequent))
     top = staged(count_windows(docs, attempt, known, pairs), "windows")
-    phrases = staged(prefixes(top, settings.least), "phrases")
+    languages = words.where(frequent).select(F.col("key").alias("_first"), "lang")
+    phrases = prefixes(top, settings.least).join(languages, F.get("phrase", F.lit(0)) == F.col("_first")).drop("_first")
+    phrases = staged(phrases, "phrases")
 
     def part(at: int | Column, size: Column) -> Column:
         return F.slice("phrase", at, size)
