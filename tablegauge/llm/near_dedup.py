@@ -5,9 +5,10 @@ minimum of an exponential variate over the set. Registers merge by their maximum
 as often as their Jaccard similarity says, so bands of registers serve as keys for a search. Candidates are first
 judged by the likelihood of their similarity given all registers and both set sizes, then confirmed on the full sets.
 
-No group is expanded into pairs. Equal sets are one node from the start. In each round a node meets one hub of its
-buckets, not all of its neighbours; what is already connected is not compared again. Nodes that share a bucket and are
-still in different components then go through an exact filter on their sets, so that no link among them is lost.
+No group is expanded into pairs. Equal sets are one node from the start. In each round a node meets the two hubs of other
+components that it shares most buckets with, not all of its neighbours; what is already connected is not compared again.
+Rounds go on as long as they find links. Nodes that share a bucket and are still in different components then go through an
+exact filter on their sets, so that no link among them is lost.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.llm.shared import pick, positional, staged
 
@@ -253,14 +255,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after components that ``links`` (a, b) connect are made one; only labels are compared."""
+    ends = labels.hint("merge")
+    joined = links.join(ends.select(F.col("node").alias("a"), F.col("label").alias("la")), "a") \
+        .join(ends.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
+    moves = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    told = labels.join(moves.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left")
+    return staged(told.select("node", F.coalesce("_to", "label").alias("label")), "labels")
 
-    Texts with fewer words than a shingle are one shingle; NULL and empty texts and those without a word have an empty
-    set and are linked with nothing. ``component_id`` is the smallest doc_id that links lead to; ``kept`` marks rows whose
-    doc_id it is. Repeated rows are equal sets and get the same answer. No rows give no rows; other columns are ignored,
-    whatever their names.
+
+def mixed_buckets(buckets: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
+    """band, node, n, label, low, high for the buckets that hold several components.
+
+    ``low`` and ``high`` are nodes of two of them, other ones in each round, so every node of a bucket can meet one that it is
+    not connected with.
     """
+    labelled = buckets.select("band", "node", "n").join(labels.hint("merge"), "node")
+    hub = F.struct(F.xxhash64("label", F.lit(round_)).alias("of"), F.xxhash64("node", F.lit(round_)).alias("at"), "node", "label")
+    hubs = labelled.groupBy("band").agg(F.min(hub).alias("low"), F.max(hub).alias("high")).where("low.label <> high.label")
+    return labelled.join(hubs.hint("merge"), "band")
+
+
+def met_hubs(apart: DataFrame, hubs: int = 2) -> DataFrame:
+    """Pairs (a, b): each node with the hubs of other components that it shares most buckets with."""
+    told = apart.select("node", "label", F.explode(F.array("low", "high")).alias("hub")).where("label <> hub.label")
+    shared = told.groupBy("node", F.col("hub.node").alias("hub"), F.col("hub.at").alias("at")).agg(F.count(F.lit(1)).alias("shared"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "at", "hub"))
+    best = shared.withColumn("_place", place).where(F.col("_place") <= hubs)
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+# A round in which fewer of the pairs than one in FEW are links is the last; the exact filter sees to what is left then.
+FEW, ROUNDS = 50, 30
+
+
+def linked(docs: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, n_shingles, digest (of the set), component_id of every row of ``docs``."""
     rows = staged(sketched(docs, settings), "sketches")
     narrow = rows.select("doc_id", "uid", "n_shingles", "digest")
     classes = staged(narrow.where("n_shingles > 0").groupBy("digest").agg(F.min("uid").alias("node")), "classes")
@@ -268,49 +299,76 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .select(F.col("uid").alias("node"), "doc_id", "digest", F.col("n_shingles").alias("n"), "registers")
     banded = bands(nodes, settings)
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    buckets = staged(banded.join(shared.select("band", "hub").hint("merge"), "band"), "buckets")
+    buckets = staged(banded.join(shared.select("band").hint("merge"), "band"), "buckets")
     meeting = staged(buckets.select("node").distinct(), "meeting")
     met = staged(nodes.join(meeting.hint("merge"), "node"), "nodes")
     sets = staged(full_sets(docs, met, settings), "sets")
     met = met.select("node", "n", "registers")
-    # First round: each node meets the smallest hub of all its buckets.
-    pairs = buckets.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).where("a < b")
-    tested = staged(pairs.select("a", "b"), "pairs")
-    edges = staged(confirmed(tested, met, sets, settings), "links")
-    for round_ in range(1, 5):
-        labels = components(edges)
-        labelled = buckets.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                             F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("at"), "node", "label")).alias("hub"))
-        apart = staged(labelled.join(mixed.where("low < high").select("band", "hub").hint("merge"), "band"), "apart")
-        if apart.isEmpty():
+    labels, tested = staged(meeting.select("node", F.col("node").alias("label")), "labels"), None
+    for round_ in range(ROUNDS):
+        buckets = staged(mixed_buckets(buckets, labels, round_), "apart")  # a bucket of one component stays one
+        pairs = met_hubs(buckets)
+        pairs = staged(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        links = staged(confirmed(pairs, met, sets, settings), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = links.count()
+        if found:
+            labels = relabelled(labels, links)
+        if found * FEW < pairs.count() or not found:
             break
-        if round_ < 4:  # each node meets one chosen node of another component
-            met_once = apart.where(F.col("label") != F.col("hub.label")).groupBy("node").agg(F.min("hub").alias("hub"))
-            pairs = met_once.select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
-        else:  # what is still apart
-            pairs = overlapping(apart.select("node", "n", "label").distinct(), sets, settings)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = staged(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty() and round_ < 4:
-            continue
-        tested = tested.unionByName(fresh)
-        edges = edges.unionByName(staged(confirmed(fresh, met, sets, settings), "links"))
-    else:
-        labels = components(edges)
-    classes = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    apart = mixed_buckets(buckets, labels, ROUNDS).select("node", "n", "label").distinct()
+    pairs = overlapping(staged(apart, "apart"), sets, settings).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    fresh = staged(pairs.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    labels = relabelled(labels, staged(confirmed(fresh, met, sets, settings), "links"))
+    classes = classes.join(labels.hint("merge"), "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     placed = narrow.join(classes.hint("merge"), "digest", "left").withColumn("label", F.coalesce("label", "uid"))
     placed = placed.withColumn("label", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("uid")))
-    placed = staged(placed.select("doc_id", "n_shingles", "label"), "placed")
+    placed = staged(placed.select("doc_id", "n_shingles", "digest", "label"), "placed")
     smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     found = placed.join(smallest.where("_n > 1").drop("_n").hint("merge"), "label", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "n_shingles", "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Texts with fewer words than a shingle are one shingle; NULL and empty texts and those without a word have an empty
+    set and are linked with nothing. ``component_id`` is the smallest doc_id that links lead to; ``kept`` marks rows whose
+    doc_id it is. Repeated rows are equal sets and get the same answer. No rows give no rows; other columns are ignored,
+    whatever their names.
+    """
+    return linked(docs, settings).select("doc_id", "n_shingles", "component_id",
+                                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def with_digests(docs: DataFrame, place: int, settings: Settings) -> DataFrame:
+    """``docs`` with the digest of the set of the text column at a place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            digests = [blake2b(shingles(text or b"", settings.words).tobytes(), digest_size=16).digest() for text in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "_digest"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())]))
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, all columns unchanged."""
-    kept = staged(link(docs, settings).where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept").hint("merge")
-    key = F.col(f"_{docs.columns.index('doc_id')}")
-    return positional(docs).join(kept, key.eqNullSafe(F.col("_id")), "left_semi").toDF(*docs.columns)
+    """The rows of ``docs`` that stay, one document of each component, all columns unchanged.
+
+    An id that rows of different texts share is told by id and set of each row, so one of them may stay and another not.
+    """
+    found = staged(linked(docs, settings), "linked")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    place, plain = docs.columns.index("doc_id"), positional(docs)
+    key = F.col(f"_{place}")
+    several = staged(found.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+                     .where("low <> high").select(F.col("doc_id").alias("_id")), "several")
+    stay = staged(found.where(kept).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).distinct(), "kept")
+    one = stay.join(several, stay["_id"].eqNullSafe(several["_id"]), "left_anti").select("_id").distinct().hint("merge")
+    result = plain.join(one, key.eqNullSafe(F.col("_id")), "left_semi")
+    if not several.isEmpty():
+        rows = plain.join(several.hint("merge"), key.eqNullSafe(F.col("_id")), "left_semi")
+        told = with_digests(rows, docs.columns.index("text"), settings).join(
+            stay, key.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi").drop("_digest")
+        result = result.unionByName(told)
+    return result.toDF(*docs.columns)

@@ -79,6 +79,36 @@ def test_what_hubs_miss_is_found(spark, monkeypatch):
     assert seen
 
 
+def test_large_groups_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Near copies of one text, some of them only near to some others, and a passage that many other texts share."""
+    rng, rows = random.Random(8), []
+    base = [f"w{i}" for i in range(100)]
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 4, 5])):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(1000 + i, f"{passage} " + " ".join(f"y{i}_{k}" for k in range(rng.randint(20, 60)))) for i in range(200)]
+    compared, real = [], nd.confirmed
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(nd, "confirmed", counted)
+    assert {k: v[:2] for k, v in found(spark, rows).items()} == brute(rows)
+    assert max(compared) <= 2 * len(rows) and sum(compared) < len(rows) ** 2 / 25
+
+
+def test_rows_of_one_id_are_told_by_their_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    rows = [(1, a, "x"), (5, a + " ", "y"), (5, b, "z"), (7, b, "q"), (8, "alone here", "r"), (None, a, "s"), (None, "no id at all", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3)
+    kept = sorted((tuple(r) for r in nd.keep_one(docs, SETTINGS).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[6]], key=repr)
+
+
 def test_odd_tables(spark):
     assert found(spark, []) == {}
     docs = spark.createDataFrame([(1, "a b c", 1, "x"), (1, "a b c", 1, "x"), (None, "a b c", 2, "y"), (None, None, 3, "z"), (2, "q", 1, "x")],
