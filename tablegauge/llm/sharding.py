@@ -52,13 +52,13 @@ def metadata(docs: DataFrame, extra: tuple[str, ...] = ("lang", "source")) -> Da
                        F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
                        F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("position_value"),
                        *[F.coalesce(code[name], F.lit(0)).alias(as_) for name, as_ in zip(extra, ("kind_value", "origin_value"))])
-    return staged(rows.withColumn("size_value", F.col("size")), "metadata")
+    return staged(rows.withColumns({"size_value": F.col("size"), "row": F.monotonically_increasing_id()}), "metadata")
 
 
 def keyed(rows: DataFrame) -> DataFrame:
     spans = rows.agg(*[f(f"{d}_value").cast("double").alias(f"{d}_{n}") for d in DIMENSIONS
                        for n, f in (("min", F.min), ("max", F.max))]).first()
-    tie = F.xxhash64("doc_id", "text_crc32").bitwiseAND(F.lit(2**31 - 1))
+    tie = F.xxhash64("doc_id", "text_crc32", "row").bitwiseAND(F.lit(2**31 - 1))  # repeated rows are told apart as well
     keys = []
     for d in DIMENSIONS:
         least, most = spans[f"{d}_min"] or 0.0, spans[f"{d}_max"] or 0.0

@@ -39,6 +39,15 @@ def test_equal_rows_and_nulls(spark):
     holds(got, 4)
 
 
+@pytest.mark.parametrize("rows", [[(None, "same")] * 2000, [(i % 5, "text") for i in range(2000)], [(None, None)] * 2000])
+def test_equal_rows_are_spread(spark, rows):
+    """However many rows are equal, no shard has more than a few rows beyond its part."""
+    got = answer(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40)
+    holds(got, 40)
+    counts = [sum(r.shard == n for r in got) for n in range(40)]
+    assert sum(counts) == 2000 and 44 <= min(counts) and max(counts) <= 56
+
+
 def test_empty(spark):
     assert answer(spark.createDataFrame([], "doc_id long, text string"), 40) == []
 
