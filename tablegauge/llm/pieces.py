@@ -8,11 +8,11 @@ knows the byte of the source it comes from; pieces lie end to end in the normali
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tablegauge.llm.shared import pick
 
@@ -135,6 +135,36 @@ class PieceModel:
         return found
 
 
+def digests(docs: DataFrame, model: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, spans_sha256.
+
+    What ``encode`` and ``decode`` give, told by digests: of the ids (decimal, joined by commas), of the decoded text, of the
+    spans (begin:end, joined by commas), and the last byte that a piece covers. The arrays do not leave the task. NULL counts
+    as empty; repeated rows, no rows and other columns are treated as by ``encode``.
+    """
+    texts = pick(docs, "doc_id", "text")
+
+    def sha(text: str) -> str:
+        return sha256(text.encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = PieceModel.of(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                made = pieces.encode([text or b"" for text in part.column(1).cast(pa.binary()).to_pylist()])
+                ids = [row[0].tolist() for row in made]
+                spans = [",".join(f"{b}:{e}" for b, e in zip(begins.tolist(), ends.tolist())) for _, begins, ends in made]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(",".join(map(str, row))) for row in ids]),
+                    pa.array(list(map(sha, pieces.processor.decode(ids))), pa.string()),
+                    pa.array([int(ends[-1]) if len(ends) else 0 for _, _, ends in made], pa.int64()),
+                    pa.array(list(map(sha, spans)))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "spans_sha256"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_sha256 string")
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids, begins, ends (arrays; spans are bytes of the UTF-8 text, end exclusive).
 
@@ -174,11 +204,3 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text")
     kinds = ", ".join(f"`{name if i == place else f.name}` {'string' if i == place else f.dataType.simpleString()}"
                       for i, f in enumerate(encoded.schema))
     return encoded.mapInArrow(run, kinds)
-
-
-def written_ids(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
-
-
-def written_spans(begins: Column, ends: Column) -> Column:
-    return F.array_join(F.zip_with(begins, ends, lambda begin, end: F.concat_ws(":", begin.cast("string"), end.cast("string"))), ",")

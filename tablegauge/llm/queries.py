@@ -71,13 +71,7 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids, of the text they decode to and of the byte spans of all pieces."""
-    encoded = pieces.encode(read_table(spark, sf_dir, "documents"), piece_model())
-    told = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(pieces.written_ids(F.col("ids")), 256).alias("ids_sha256"), "ids",
-                          F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_bytes"),
-                          F.sha2(pieces.written_spans(F.col("begins"), F.col("ends")), 256).alias("spans_sha256"))
-    decoded = pieces.decode(told, piece_model())
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), "n_bytes", "spans_sha256")
+    return pieces.digests(read_table(spark, sf_dir, "documents"), piece_model())
 
 
 def op8_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
