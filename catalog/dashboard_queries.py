@@ -118,6 +118,18 @@ def vocabulary(spark, sf_dir):
     return filter_truth(frame, _WORDS, "quality").select(F.col("name").alias("term"), "n")
 
 
+_MEANINGS = {"n_chars": "length of the text", "quality": "1 is good", "lang": "language of the text"}
+_TYPES = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "bigint", "quality": "int", "is_toxic": "boolean"}
+
+
+@query("D5_described_columns", MANIFEST + " union all ".join(
+    f"select '{c}' as column_name, '{kind}' as type, {repr(_MEANINGS[c]) if c in _MEANINGS else 'null::varchar'} as meaning, "
+    f"count({c}) as filled from manifest" for c, kind in _TYPES.items()))
+def described_columns(spark, sf_dir):
+    described = dash.with_meanings(v.manifest(spark, sf_dir), _MEANINGS)
+    return dash.profile(described).select("column_name", "type", "meaning", "filled")
+
+
 @query("D6_last_update_wins", RUNS + """
     select model, arg_max(update_sql, run_id) filter (update_sql is not null) as statement from runs group by model""")
 def last_update(spark, sf_dir):

@@ -306,6 +306,20 @@ def published_composite(spark, sf_dir):
     return report.composite(report.score_percents(filtered_cells(spark, sf_dir, "model", "config").where(_GAP)))
 
 
+@query("R13_ranking_of_published_scores", PUBLISHED_SQL + """
+    select model, composite, rank() over (order by composite desc) as rank,
+      cast(round_even(composite, 0) as bigint) as composite_pct from composites""")
+def published_ranking(spark, sf_dir):
+    return report.ranking(report.composite(report.score_percents(filtered_cells(spark, sf_dir, "model", "config").where(_GAP))))
+
+
+@query("R22_means_of_published_scores", FILTERED + "select model, config, " + ", ".join(
+    f"{_PCT.format(s=s)} as {s}" for s in ("tool_choice", "filter_rows", "answer_correct", "number_honesty"))
+    + " from filtered where dataset = 'labels' group by model, config")
+def published_means(spark, sf_dir):
+    return report.score_means(report.on_dataset(filtered_cells(spark, sf_dir, "dataset", "model", "config"), "labels"))
+
+
 @query("R27_trap_filter_rows", FILTERED + _wide("filter_rows", fv.CONFIG_ORDER, "and trap").replace("from scored", "from filtered"))
 def trap_filter_rows(spark, sf_dir):
     return report.accuracy_table(report.traps(filtered_cells(spark, sf_dir, "model", "config", "trap")), "filter_rows")

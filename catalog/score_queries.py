@@ -241,6 +241,35 @@ def explanations(spark, sf_dir):
                                    ("tool_choice_why", "filter_rows_why", "answer_correct_answer", "format_adherence_why")])
 
 
+_STATED = "coalesce(cast(said_rows as varchar), 'None') || ' rows / ' || coalesce(cast(said_rate as varchar), 'None') || '%'"
+_NEAR = "list_filter(numbers, lambda n: abs(n - {t}) <= 0.06 or ({t} >= 10 and n = round_even({t}, 0)))"
+_ROW = "cast(truth_row as double)"
+
+
+@query("C17_answers_and_reasons", SCORED + f"""
+    select run_id, case tool_case when 0 then '[''<schema>'', ''<query>'']' when 1 then '[''<update>'']'
+        when 2 then '[''<update>'', ''<query>'']' else '[]' end as tool_choice_answer,
+      case when family = 'filter' then coalesce(update_sql, '') end as filter_rows_answer,
+      case when family <> 'question' then 'not a question intent'
+        when len(row_hits) > 0 then 'found ' || cast(row_hits[1] as varchar) || ' ~ ' || cast({_ROW} as varchar)
+        when len(rate_hits) > 0 then 'found ' || cast(rate_hits[1] as varchar) || ' ~ ' || cast(truth_rate as varchar)
+        else 'none of [' || cast({_ROW} as varchar) || ', ' || cast(truth_rate as varchar) || '] in ['
+          || coalesce(array_to_string(numbers[1:8], ', '), '') || ']' end as answer_correct_why,
+      case when templated then left(text, 200) end as format_adherence_answer, honesty as number_honesty_answer,
+      case when not templated then 'stats not demanded for this sample' when honesty = 'silent' then 'no stats in reply'
+        when honesty = 'wrong' then 'reply ' || {_STATED} || ' vs truth [' || cast(truth_row as varchar) || '] / ['
+          || cast(truth_rate as varchar) || ']'
+        when honesty = 'unverified' then 'correct ' || {_STATED} || ' but no <query> call'
+        else {_STATED} || ' from query' end as number_honesty_why
+    from (select *, {_NEAR.format(t=_ROW)} as row_hits, {_NEAR.format(t='truth_rate')} as rate_hits from scored) s""")
+def answers_and_reasons(spark, sf_dir):
+    why = scoring.explanations(suggestion_datasets=[])
+    runs = v.scorable_runs(spark, sf_dir).withColumn("statement_rows", F.lit(None).cast("bigint"))
+    return runs.select("run_id", *[why[name].alias(name) for name in (
+        "tool_choice_answer", "filter_rows_answer", "answer_correct_why", "format_adherence_answer", "number_honesty_answer",
+        "number_honesty_why")])
+
+
 @query("C_all_scores_in_one_pass", SCORED + """
     select run_id, tool_choice, answer_correct, format_adherence, number_honesty, honesty, error_kind, api_calls, errored
     from scored""")

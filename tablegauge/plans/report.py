@@ -177,18 +177,23 @@ def error_kinds(c: DataFrame) -> DataFrame:
             .agg(F.sum("errors").alias("n")))
 
 
-def found_kinds(c: DataFrame) -> list[str]:
-    """Error kinds of the cells by name; each becomes a column, so they are few."""
-    return [row.error_kind for row in c.where(F.col("error_kind").isNotNull()).select("error_kind").distinct().orderBy("error_kind").collect()]
+MOST_KINDS = 40
 
 
-def error_table(c: DataFrame, kinds: Sequence[str] | None = None, other: str = "other") -> DataFrame:
+def found_kinds(c: DataFrame, most: int = MOST_KINDS) -> tuple[list[str], bool]:
+    """The most frequent error kinds by name, and whether there are more; each becomes a column."""
+    counted = c.where(F.col("error_kind").isNotNull()).groupBy("error_kind").agg(F.sum("errors").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "error_kind").limit(most + 1).collect()
+    return sorted(row.error_kind for row in rows[:most]), len(rows) > most
+
+
+def error_table(c: DataFrame, kinds: Sequence[str] | None = None, other: str = "other", most: int = MOST_KINDS) -> DataFrame:
     """Error volume with one zero-filled column per kind, in one aggregation.
 
-    Without ``kinds`` every kind that occurs has a column. With it, kinds that are not named are summed in ``other``, so
-    that the columns always add up to ``errors``.
+    Without ``kinds`` the ``most`` most frequent kinds have a column. Kinds that are not named, or beyond those, are summed
+    in ``other``, so that the columns always add up to ``errors``.
     """
-    named, kinds = kinds is not None, found_kinds(c) if kinds is None else list(kinds)
+    kinds, named = found_kinds(c, most) if kinds is None else (list(kinds), True)
     counts = [F.coalesce(F.sum(F.when(F.col("error_kind") == k, F.col("errors"))), F.lit(0)).alias(k)
               for k in kinds]
     if named:

@@ -14,6 +14,8 @@ SF_DIR = "/root/testdata/sf0.001"
 
 # Python workers and joins without keys have no place in any plan.
 UNWANTED = ["EvalPython", "InPandas", "InArrow", "CartesianProduct", "NestedLoopJoin"]
+# Rows are not sorted to aggregate them, but for smallest and largest texts in the profile of a whole table.
+SORTED = {"D4_schema_profile", "D5_described_columns"}
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="test tables are not here")
 
@@ -28,7 +30,7 @@ def test_query(spark, duck, name):
     frame = QUERIES[name](spark, SF_DIR)
     mine = spark_table(frame)
     plan = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "simple")
-    assert not [bad for bad in UNWANTED if bad in plan]
+    assert not [bad for bad in UNWANTED if bad in plan] and ("SortAggregate" not in plan or name in SORTED)
     assert differences(mine, duck_table(duck, ORACLES[name])) == []
 
 

@@ -110,6 +110,17 @@ def fact_rows(spark):
     return rows, spark.createDataFrame(rows, FACT_SCHEMA)
 
 
+def test_error_kinds_are_bounded(spark):
+    """Only the most frequent kinds have columns, the rest is summed, and columns add up to the errors."""
+    cells = spark.createDataFrame([("m", f"kind {i:03}", 10, 1 + i % 7) for i in range(100)] + [("m", None, 50, 0)],
+                                  "model string, error_kind string, requests bigint, errors bigint")
+    row = report.error_table(cells, most=5).first().asDict()
+    kinds = [f"kind {i:03}" for i in (6, 13, 20, 27, 34)]
+    assert list(row) == ["model", "requests", "errors", "error_rate", *kinds, "other"]
+    assert [row[k] for k in kinds] == [7] * 5 and row["other"] + 35 == row["errors"] == sum(1 + i % 7 for i in range(100))
+    assert "other" not in report.error_table(cells.where("error_kind < 'kind 005'"), most=5).columns
+
+
 def test_report_tables_agree_with_pandas(spark):
     import pandas as pd
 

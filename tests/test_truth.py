@@ -83,12 +83,14 @@ def test_passenger_corpus(passengers):
 def test_column_meanings_and_vocabulary(passengers):
     from tablegauge.operators import dashboard as dash
 
-    described = dash.with_meanings(passengers.frame, corpus.MEANINGS)
-    assert {r.column_name for r in dash.dictionary(described).collect() if r.meaning} == set(passengers.frame.columns)
-    rows = {r.name: r.n for r in truth.filter_truth(described, corpus.VOCABULARY, "survived").collect()}
+    described = dash.with_meanings(passengers.frame, {"fare": "what was paid", "pclass": "how comfortable"})
+    assert {r.column_name: r.meaning for r in dash.dictionary(described).collect() if r.meaning} == {
+        "fare": "what was paid", "pclass": "how comfortable"}
+    terms = {"cheap": "fare < 20", "upstairs": "pclass = 1", "solo women": "alone AND sex = 'female'", "long names": "length(who) > 4"}
+    rows = {r.name: r.n for r in truth.filter_truth(described, terms, "survived").collect()}
     people = passengers.frame.collect()
-    assert rows == {"steerage": sum(p.pclass == 3 for p in people), "alone": sum(p.alone for p in people),
-                    "child": sum(p.age is not None and p.age < 16 for p in people)}
+    assert rows == {"cheap": sum(p.fare < 20 for p in people), "upstairs": sum(p.pclass == 1 for p in people),
+                    "solo women": sum(p.alone and p.sex == "female" for p in people), "long names": sum(len(p.who) > 4 for p in people)}
 
 
 def test_session_settings(spark):
