@@ -1,6 +1,7 @@
 """Registered queries over the given tables, each with the SQL that must agree."""
 
 from catalog import (  # noqa: F401  (registers the queries)
+    chain_queries,
     cost_queries,
     dashboard_queries,
     extract_queries,

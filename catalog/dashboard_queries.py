@@ -9,6 +9,7 @@ from catalog import views as v
 from catalog.registry import query
 from tablegauge import fixed_values as fv
 from tablegauge.operators import dashboard as dash
+from tablegauge.operators import profiles
 from tablegauge.operators.dashboard import Dashboard
 from tablegauge.operators.statements import bind, try_statement
 from tablegauge.plans.truth import filter_truth
@@ -97,6 +98,42 @@ def schema_profile(spark, sf_dir):
     return Dashboard(v.manifest(spark, sf_dir), "manifest").schema(exact=True).drop("type", "meaning")
 
 
+def _profile_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of the whole table, merged from those of three parts that were written one after the other."""
+    table, path = v.manifest(spark, sf_dir), new_path(spark, "profiles")
+    for part in range(3):
+        profiles.profile_state(table.where(F.col("doc_id") % 3 == part)).write.mode("append").parquet(path)
+    return profiles.merged(spark.read.parquet(path))
+
+
+@query("D4_profile_from_states", MANIFEST + " union all ".join(
+    f"select '{c}' as column_name, count(*) as n_rows, count({c}) as filled, true as distinct_close, "
+    f"{'true' if c in ('doc_id', 'n_chars', 'quality') else 'null::boolean'} as median_close from manifest" for c in _PROFILED))
+def profile_from_states(spark, sf_dir):
+    """Counts, and estimates within five standard errors (distinct values) and five percent of the ranks (medians)."""
+    told, exact = profiles.described(_profile_in_parts(spark, sf_dir)), Dashboard(v.manifest(spark, sf_dir), "manifest").schema(exact=True)
+    ranks = v.manifest(spark, sf_dir).agg(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.percentile_approx(c, [0.45, 0.55], 10_000).cast("array<double>").alias("middle"))
+        for c in ("doc_id", "n_chars", "quality")]).alias("r")).select(F.inline("r"))
+    both = told.join(exact.select("column_name", F.col("distinct_values").alias("exactly")), "column_name").join(ranks, "column_name", "left")
+    return both.select("column_name", "n_rows", "filled",
+                       (F.abs(F.col("distinct_values") - F.col("exactly")) <= F.greatest(F.lit(1.0), 0.08 * F.col("exactly"))).alias("distinct_close"),
+                       F.get("quartiles", F.lit(2)).between(F.get("middle", F.lit(0)), F.get("middle", F.lit(1))).alias("median_close"))
+
+
+@query("D4_values_from_states", MANIFEST + """
+    select 'lang' as column_name, lang as value, count(*) as n from manifest where lang is not null group by lang
+    union all select 'is_toxic', cast(is_toxic as varchar), count(*) from manifest where is_toxic is not null group by is_toxic
+    union all select 'quality', cast(quality as varchar), count(*) from manifest where quality is not null group by quality
+    union all select 'source', source, count(*) from manifest
+      where source is not null and (select count(distinct source) from manifest) <= 20 group by source
+    union all select 'source', null, null where (select count(distinct source) from manifest) > 20
+    union all select 'doc_id', null, null union all select 'n_chars', null, null""")
+def values_from_states(spark, sf_dir):
+    """Values of the columns with few, and the others by name."""
+    return profiles.vocabulary(_profile_in_parts(spark, sf_dir), 20).drop("distinct_values")
+
+
 @query("D4_low_cardinality_values", MANIFEST + """
     select 'lang' as column_name, lang as value, count(*) as n from manifest where lang is not null group by lang
     union all select 'is_toxic', cast(is_toxic as varchar), count(*) from manifest
