@@ -95,6 +95,15 @@ def text_or_list(spark, sf_dir):
     return texts.groupBy("lang").agg(F.sum(F.size("texts")).cast("bigint").alias("items"))
 
 
+@query("T3_lists_of_texts", MANIFEST + """
+    select lang, sum(case when quality is null then 0 else 2 end)::bigint as items, count(*) filter (quality is null) as none
+    from manifest group by lang""")
+def lists_of_texts(spark, sf_dir):
+    listed = F.when(F.col("quality").isNotNull(), F.array(F.col("source"), F.col("quality").cast("string")))
+    texts = v.manifest(spark, sf_dir).select("lang", truth.as_list(listed, listed=True).alias("texts"))
+    return texts.groupBy("lang").agg(F.sum(F.size("texts")).cast("bigint").alias("items"), F.count_if(F.size("texts") == 0).alias("none"))
+
+
 @query("T4_T5_sample_per_phrasing", """
     select 'conversations:' || cast(conv_id as varchar) || ':' || cast(p as varchar) as id, p as variant, phrasing as input
     from (select distinct conv_id from conversations) c,

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators import predicates
 from tablegauge.operators.lookup import hot_hashes, salted_lookup
 from tablegauge.operators.predicates import Condition
-from tablegauge.workdir import new_path, session_settings, small_table
+from tablegauge.workdir import new_path, session_settings, small_table, written
 
 # Identifiers in double quotes as in standard SQL; no file paths as tables; no ${...} expansion.
 GATE_SETTINGS = {
@@ -420,7 +420,8 @@ def count_statements(statements: DataFrame, tables: dict[str, Binding], *, batch
     """
     spark = statements.sparkSession
     path, told = new_path(spark, "statement-counts"), False
-    for batch in _batches(statements.toLocalIterator(), batch_size):
+    # Written first: an iterator over a shuffle runs a job for each of its partitions, however few rows they have.
+    for batch in _batches(written(statements, "statements").toLocalIterator(), batch_size):
         by_table: dict[str, list[tuple[int, str]]] = {}
         for position, row in enumerate(batch):
             by_table.setdefault(row.dataset, []).append((position, row.statement))

@@ -129,9 +129,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return result
 
 
-def as_list(value: Column) -> Column:
-    """A single text as a list of one; NULL as the empty list."""
-    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value))
+def as_list(value: Column, listed: bool = False) -> Column:
+    """A single text as a list of one, a list (``listed``) as it is; NULL as the empty list."""
+    return F.coalesce(value if listed else F.when(value.isNotNull(), F.array(value)), F.array().cast("array<string>"))
 
 
 def flag(value: Column) -> Column:

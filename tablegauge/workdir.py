@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """Fresh, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Delete all tables that this application wrote below the shared folder, on whatever file system; how many there were.
+
+    Results are lazy and read them, so a caller does this when all results are stored or collected.
+    """
+    paths, removed = _made.pop(spark.sparkContext.applicationId, []), 0
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return removed
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
