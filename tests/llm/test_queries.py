@@ -76,7 +76,46 @@ def test_shards(spark, documents):
     found, got = rows(spark, "op6_kd_sharding")
     assert {i: (r.size, r.text_crc32) for i, r in got.items()} == {
         i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in documents.items()}
-    assert {r.shard for r in found} <= set(range(40))
+    assert {r.shard for r in found} <= set(range(40)) and {r.law for r in found} == {"bytes"}
+    sums, slots = [0] * 40, [[] for _ in range(40)]
+    for r in found:
+        sums[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(numbers) == list(range(len(numbers))) for numbers in slots)
+    assert max(sums) - min(sums) <= 2 * max(r.size for r in found)
+
+
+def test_packed(spark, documents):
+    """Ids of whole texts by the tokenizer itself; sequences without gaps, close to the fewest possible."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tablegauge.llm.shared import word_vocabulary
+
+    found, _ = rows(spark, "op1_best_fit_packing")
+    tokenizer, want = Tokenizer.from_file(word_vocabulary()), set()
+    for i, text in documents.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want |= {(i, at // 4096, at, len(ids[at:at + 4096]), zlib.crc32(ids[at:at + 4096].tobytes())) for at in range(0, len(ids), 4096)}
+    assert {tuple(r)[:5] for r in found} == want and len(found) == len(want)
+    ends: dict[int, int] = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096 and len(ends) <= sum(r.length for r in found) / 4096 + 2
+
+
+def test_notices(spark, documents):
+    from tests.llm.test_licenses import brute as places
+
+    _, got = rows(spark, "op12_license_scan")
+    for i, text in documents.items():
+        n, found = places(text)
+        labels = sorted({label for _, label in found})
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (
+            n, len(found), min(found)[0] if found else None, max(found)[0] if found else None, ",".join(labels))
+        assert set(labels) <= set(r.labels.split(",")) | {""} and r.labels == ",".join(sorted(set(r.labels.split(",")))) and 0 <= r.score <= 1
 
 
 def test_pieces(spark, documents):
