@@ -5,7 +5,7 @@ minimum of an exponential variate over the set. Registers merge by their maximum
 as often as their Jaccard similarity says, so bands of registers serve as keys for a search. Candidates are first
 judged by the likelihood of their similarity given all registers and both set sizes, then confirmed on the full sets.
 
-No group is expanded into pairs. Equal sets are one node from the start. In each round a node meets the two hubs of other
+No group is expanded into pairs. Equal sets are one node from the start. In each round a node meets the six hubs of other
 components that it shares most buckets with, not all of its neighbours; what is already connected is not compared again.
 Rounds go on as long as they find links. Nodes that share a bucket and are still in different components then go through an
 exact filter on their sets, so that no link among them is lost.
@@ -277,7 +277,7 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame, round_: int) -> DataFra
     return labelled.join(hubs.hint("merge"), "band")
 
 
-def met_hubs(apart: DataFrame, hubs: int = 2) -> DataFrame:
+def met_hubs(apart: DataFrame, hubs: int = 6) -> DataFrame:
     """Pairs (a, b): each node with the hubs of other components that it shares most buckets with."""
     told = apart.select("node", "label", F.explode(F.array("low", "high")).alias("hub")).where("label <> hub.label")
     shared = told.groupBy("node", F.col("hub.node").alias("hub"), F.col("hub.at").alias("at")).agg(F.count(F.lit(1)).alias("shared"))
@@ -287,7 +287,7 @@ def met_hubs(apart: DataFrame, hubs: int = 2) -> DataFrame:
 
 
 # A round in which fewer of the pairs than one in FEW are links is the last; the exact filter sees to what is left then.
-FEW, ROUNDS = 50, 30
+FEW, ROUNDS = 40, 30
 
 
 def linked(docs: DataFrame, settings: Settings) -> DataFrame:
