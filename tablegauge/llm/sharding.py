@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.llm.shared import dense_positions, pick, staged, text_or_empty
+from tablegauge.workdir import small_table
 
 BINS = 4096
 # A median is near enough when its bin holds less than this share of an average shard.
@@ -88,7 +89,9 @@ def grow(rows: DataFrame, shards: int) -> DataFrame:
 
 def _small(rows: DataFrame, values: list[tuple], more: str) -> DataFrame:
     """One row a node of a level: fewer than there are shards."""
-    return rows.sparkSession.createDataFrame(values, f"node int, axis int, {more}")
+    schema = f"node int, axis int, {more}"
+    names = [column.split()[0] for column in schema.split(", ")]
+    return small_table(rows.sparkSession, [dict(zip(names, value)) for value in values], schema)
 
 
 def _measured(rows: DataFrame, level: list[Node]) -> list[Node]:

@@ -56,3 +56,13 @@ def test_native(spark):
     plan = sharding.shard(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 2)
     shown = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
     assert not [name for name in ("Python", "Pandas", "Arrow") if name in shown]
+
+
+def test_no_python_outside_the_plan(spark):
+    """Neither the result nor the small tables of a level that it is made with are read by Python workers."""
+    rows = sharding.keyed(sharding.metadata(spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))))
+    cuts = sharding._small(rows, [(0, 1, 2**63 - 1, 20), (20, 3, 5, 1)], "cut long, step int")
+    assert "PythonRDD" not in cuts._jdf.queryExecution().toRdd().toDebugString()
+    assert [tuple(row) for row in cuts.orderBy("node").collect()] == [(0, 1, 2**63 - 1, 20), (20, 3, 5, 1)]
+    goals = sharding._small(rows, [(0, 0, 1, 9, 3, 0.1 + 0.2)], "start long, last long, width long, goal double")
+    assert goals.first()["goal"] == 0.1 + 0.2 and goals.schema.simpleString().endswith("goal:double>")
