@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from tablegauge.llm.shared import pick, positional, staged
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
+BITS = 1024  # of the parity bitmap of a set
+PART = 500  # texts of a batch that are held as sets at once
 DOUBT = 12.0  # a candidate is dropped when the registers are e**12 times likelier under some lower similarity
 
 
@@ -83,6 +85,15 @@ def sketch(items: np.ndarray, settings: Settings, multipliers: np.ndarray) -> np
     return np.clip(np.floor(1 - np.log(exponential) / math.log(settings.base)), 0, 65534).astype(np.uint16)
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Bitmap of a set as 64-bit integers: bit i tells whether an odd number of its hashes ends in i.
+
+    An element that only one of two sets has changes one bit, so their bitmaps differ in no more bits than the sets in elements.
+    """
+    odd = np.bincount((items & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sketch of the union."""
     return np.maximum(a, b)
@@ -154,22 +165,28 @@ def bands(nodes: DataFrame, settings: Settings) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
-    """The whole shingle set of each needed node, made again from its text."""
+    """The whole shingle set of each needed node, made again from its text, and its parity bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text, node, digest in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(),
-                                          batch.column(2).to_pylist()):
-                items = shingles(text or b"", settings.words).tobytes()
-                if blake2b(items, digest_size=16).digest() == digest:  # a repeated doc_id may have other texts
-                    found.append((node, items))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()),
-                                              pa.array([x[1] for x in found], pa.binary())], names=["node", "items"])
+            for at in range(0, batch.num_rows, PART):
+                part, found = batch.slice(at, PART), []
+                for text, node, digest in zip(part.column(0).cast(pa.binary()), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    items = shingles(text.as_py() or b"", settings.words)
+                    if blake2b(items.tobytes(), digest_size=16).digest() == digest:  # a repeated doc_id may have other texts
+                        found.append((node, items))
+                sets = [items for _, items in found]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                wide = np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
+                none = [np.empty(0, np.int64)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([node for node, _ in found], pa.int64()),
+                    pa.ListArray.from_arrays(ends, np.concatenate(none + [items.view(np.int64) for items in sets])),
+                    pa.ListArray.from_arrays(wide, np.concatenate(none + [parities(items) for items in sets]))],
+                    names=["node", "items", "bits"])
 
     wanted = needed.select(F.col("doc_id").alias("_id"), "node", "digest").hint("merge")
     texts = pick(docs, "doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    made = texts.select("text", "node", "digest").mapInArrow(run, "node long, items binary")
-    return made
+    return texts.select("text", "node", "digest").mapInArrow(run, "node long, items array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -182,15 +199,6 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Set
                 keep = may_reach(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), settings)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= settings.percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     def side(table: DataFrame, node: str, value: str, *more: str) -> DataFrame:
         renamed = {"node": node, value: f"{value[0]}{node}"} | {m: f"{m}{node}" for m in more}
         return table.select(*[F.col(k).alias(v) for k, v in renamed.items()]).hint("merge")
@@ -200,25 +208,20 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, settings: Set
     near = near.where(size).mapInArrow(likely, "a long, b long")
     full = near.join(side(sets, "a", "items").withColumnRenamed("ia", "sa"), "a") \
         .join(side(sets, "b", "items").withColumnRenamed("ib", "sb"), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+    # Row by row in Spark: the sets of a batch of pairs have no bound, as one long set may be in many pairs.
+    both = F.size(F.array_intersect("sa", "sb"))
+    return full.where((100 + settings.percent) * both >= settings.percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def overlapping(nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (x, y) of nodes (node, n, label) with different labels that can reach the threshold: none of those is left out.
 
     Shingles are put in one order, rarest first. Two sets at the threshold share a shingle among the first of each, and
-    after their first common one both still have enough left. Sets that have only common passages in common, or many
-    small differences, are told apart by this within the join and never become rows.
+    after their first common one both still have enough left. Sets that have only common passages in common, or many small differences, are told apart by this within the
+    join and never become rows.
     """
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = [np.frombuffer(value, np.int64) for value in batch.column(1).to_pylist()]
-            for at in range(0, len(items), 200):
-                some = items[at:at + 200]
-                owner = np.repeat(batch.column(0).to_numpy()[at:at + 200], list(map(len, some)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(owner)], names=["token", "node"])
-
-    tokens = sets.join(nodes.select("node").hint("merge"), "node").select("node", "items").mapInArrow(explode, "token long, node long")
+    wanted = sets.join(nodes.select("node").hint("merge"), "node")
+    tokens = wanted.select(F.explode("items").alias("token"), "node")
     tokens = staged(tokens, "tokens")
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").hint("merge")
     ordered = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("nodes", "token"))).alias("shared"))
@@ -228,10 +231,11 @@ def overlapping(nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFr
     first = staged(ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * settings.percent / 100)), "prefixes")
     other = first.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "place")]).hint("merge")
     left = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y"))
+    either = F.col("n") + F.col("n_y")
     return first.join(other, "token").where(
         (F.col("node") < F.col("node_y")) & (F.col("label") != F.col("label_y"))
         & (100 * F.col("n") >= settings.percent * F.col("n_y")) & (100 * F.col("n_y") >= settings.percent * F.col("n"))
-        & ((100 + settings.percent) * left >= settings.percent * (F.col("n") + F.col("n_y")))) \
+        & ((100 + settings.percent) * left >= settings.percent * either)) \
         .select(F.col("node").alias("x"), F.col("node_y").alias("y"))
 
 

@@ -128,3 +128,44 @@ def test_sketches_merge_and_estimate():
     sizes = np.array([3000])
     assert nd.may_reach(sketch(a)[None], sketch(near)[None], sizes, sizes, SETTINGS).all()
     assert not nd.may_reach(sketch(a)[None], sketch(far)[None], sizes, sizes, SETTINGS).any()
+
+
+def alike_texts(n=60):
+    """Texts of 150 words of which any two share about 72 %, and after every tenth one that differs from it in five words."""
+    rng, rows = random.Random(8), []
+    base = [f"b{i}" for i in range(150)]
+    for i in range(n):
+        words = [f"own{i}x{j}" if j < 13 else word for j, word in enumerate(rng.sample(base, len(base)))]
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([f"new{i}x{j}" for j in range(5)] + words[5:])))
+    return rows
+
+
+def prepared(spark, rows, settings):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = nd.sketched(docs, settings)
+    nodes = made.selectExpr("doc_id as node", "doc_id", "digest", "n_shingles as n", "registers", "doc_id as label")
+    return nodes, nd.full_sets(docs, nodes, settings)
+
+
+def test_parities():
+    rng = np.random.default_rng(4)
+    for size, more in ((0, 3), (5, 0), (150, 40), (5000, 900)):
+        a, b = (np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (size, more))
+        bits = [np.unpackbits(nd.parities(x).view(np.uint8)) for x in (a, np.union1d(a, b))]
+        assert len(bits[0]) == nd.BITS and (bits[0] != bits[1]).sum() <= len(b)
+        assert more > 100 or (bits[0] != bits[1]).sum() >= 0.8 * len(b)
+
+
+def test_sets_of_pairs_are_not_gathered_in_batches(spark):
+    """Confirming pairs sends registers to Python workers, never sets, whose batches would have no bound; the links are the same."""
+    rows, settings = alike_texts(20), nd.Settings(words=1)
+    nodes, sets = prepared(spark, rows, settings)
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "a long, b long")
+    links = nd.confirmed(pairs, nodes.select("node", "n", "registers"), sets, settings)
+    plan = links._sc._jvm.PythonSQLUtils.explainString(links._jdf.queryExecution(), "simple")
+    assert not [line for line in plan.splitlines() if "MapInArrow" in line and "sa#" in line]
+    words = {i: set(text.split()) for i, text in rows}
+    assert {tuple(pair) for pair in links.collect()} == {
+        (a, b) for a in words for b in words if a < b and 100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b])}
