@@ -217,7 +217,8 @@ def overlapping(nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFr
     """Pairs (x, y) of nodes (node, n, label) with different labels that can reach the threshold: none of those is left out.
 
     Shingles are put in one order, rarest first. Two sets at the threshold share a shingle among the first of each, and
-    after their first common one both still have enough left. Sets that have only common passages in common, or many small differences, are told apart by this within the
+    after their first common one both still have enough left. Their parity bitmaps differ in no more bits than they differ in
+    shingles. Sets that have only common passages in common, or many small differences, are told apart by this within the
     join and never become rows.
     """
     wanted = sets.join(nodes.select("node").hint("merge"), "node")
@@ -228,14 +229,17 @@ def overlapping(nodes: DataFrame, sets: DataFrame, settings: Settings) -> DataFr
     ordered = ordered.join(nodes.hint("merge"), "node").select("node", "n", "label", F.size("shared").alias("width"), F.posexplode("shared"))
     # Shingles of no other set come first and are not rows.
     ordered = ordered.select(F.col("col.token").alias("token"), "node", "n", "label", (F.col("n") - F.col("width") + F.col("pos")).alias("place"))
-    first = staged(ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * settings.percent / 100)), "prefixes")
-    other = first.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "place")]).hint("merge")
+    prefixes = ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * settings.percent / 100))
+    first = staged(prefixes.join(wanted.select("node", "bits").hint("merge"), "node"), "prefixes")
+    other = first.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "place", "bits")]).hint("merge")
     left = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y"))
     either = F.col("n") + F.col("n_y")
+    unlike = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(BITS // 64)), F.lit(0))
     return first.join(other, "token").where(
         (F.col("node") < F.col("node_y")) & (F.col("label") != F.col("label_y"))
         & (100 * F.col("n") >= settings.percent * F.col("n_y")) & (100 * F.col("n_y") >= settings.percent * F.col("n"))
-        & ((100 + settings.percent) * left >= settings.percent * either)) \
+        & ((100 + settings.percent) * left >= settings.percent * either)
+        & ((100 + settings.percent) * (either - unlike) >= 2 * settings.percent * either)) \
         .select(F.col("node").alias("x"), F.col("node_y").alias("y"))
 
 

@@ -149,6 +149,17 @@ def prepared(spark, rows, settings):
     return nodes, nd.full_sets(docs, nodes, settings)
 
 
+def test_last_step_makes_hardly_more_pairs_than_links(spark):
+    """In a group whose members are all somewhat alike, pairs below the threshold do not become rows, and no link is lost."""
+    rows, settings = alike_texts(), nd.Settings(words=1)
+    nodes, sets = prepared(spark, rows, settings)
+    words = {i: set(text.split()) for i, text in rows}
+    links = {(a, b) for a in words for b in words if a < b and 100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b])}
+    found = [tuple(sorted(pair)) for pair in nd.overlapping(nodes.select("node", "n", "label"), sets, settings).collect()]
+    assert 6 <= len(links) <= 20 and links <= set(found)
+    assert len(set(found)) <= len(links) + 20
+
+
 def test_parities():
     rng = np.random.default_rng(4)
     for size, more in ((0, 3), (5, 0), (150, 40), (5000, 900)):
