@@ -35,12 +35,14 @@ CHAIN = v.with_ctes(v.MANIFEST, _EXTRACTED, v.COUNTS, v.SCORED, _FILTERED)
 def logged_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with what identifies a request; a rate-limited first attempt stands before a third of them."""
     told = v.runs(spark, sf_dir).select("run_id", "model", "provider", "reasoning", "config", "epoch", "started")
+    # Both attempts come from one row, so the conversations are made and joined once.
+    attempts = F.when(F.col("run_id") % 3 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
     logged = conversations(spark, sf_dir).join(told, "run_id").withColumns({
-        "sample_id": F.col("run_id").cast("string"), "attempt": F.when(F.col("run_id") % 3 == 0, 1).otherwise(0)})
-    early = logged.where("attempt = 1").withColumns({
-        "attempt": F.lit(0), "error_type": F.lit("RateLimitError"), "error_message": F.lit("try again in 5s"),
-        "updates": F.array(F.lit("SELECT 0"))})
-    return logged.unionByName(early)
+        "sample_id": F.col("run_id").cast("string"), "attempt": F.explode(attempts)})
+    early = (F.col("run_id") % 3 == 0) & (F.col("attempt") == 0)
+    said = {"error_type": F.lit("RateLimitError"), "error_message": F.lit("try again in 5s"),
+            "updates": F.array(F.lit("SELECT 0"))}
+    return logged.withColumns({name: F.when(early, value).otherwise(F.col(name)) for name, value in said.items()})
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
